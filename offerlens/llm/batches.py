@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,3 +27,46 @@ def map_columns(df: DataFrame, schema: str, fn: Callable[..., dict[str, Any]], r
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in wanted], schema=wanted)
 
     return df.mapInArrow(run, schema)
+
+
+def stream_groups(df: DataFrame, keys: list[str], schema: str, fn: Callable[..., dict[str, Any]], order: list[str] | None = None) -> DataFrame:
+    """``fn(starts, **columns)`` on runs of whole groups of equal long ``keys``.
+
+    Rows are dealt by the keys and sorted in their task; groups pass through as
+    a stream, so a task holds one Arrow batch and the group that it ends in.
+    ``starts`` are the groups' first places. For groups of bounded size.
+    """
+    wanted: pa.Schema = to_arrow_schema(StructType.fromDDL(schema))
+
+    def given(t: pa.Table) -> tuple[np.ndarray, pa.RecordBatch]:
+        new = np.zeros(t.num_rows, dtype=bool)
+        new[:1] = True
+        for k in keys:
+            v = t.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(new)
+        got = fn(starts, **{n: t.column(n) for n in t.column_names})
+        return starts, pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in wanted], schema=wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, dtype=bool)
+            for k in keys:
+                v = b.column(b.schema.get_field_index(k)).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+                new[0] |= bool(rest) and rest[-1].column(rest[-1].schema.get_field_index(k))[-1].as_py() != v[0]
+            cuts = np.flatnonzero(new)
+            if len(cuts):
+                done = [*rest, b.slice(0, cuts[-1])]
+                rest = [b.slice(cuts[-1])]
+                if sum(x.num_rows for x in done):
+                    yield given(pa.Table.from_batches(done))[1]
+            else:
+                rest.append(b)
+        if rest:
+            yield given(pa.Table.from_batches(rest))[1]
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
