@@ -70,3 +70,29 @@ def stream_groups(df: DataFrame, keys: list[str], schema: str, fn: Callable[...,
             yield given(pa.Table.from_batches(rest))[1]
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
+
+
+def rewrite_rows(df: DataFrame, fn: Callable[[list], tuple[list[bool], list | None]], rows: int = ROWS) -> DataFrame:
+    """The rows whose ``text`` ``fn`` keeps, every column of them, with new texts where it gives any; nothing is shuffled.
+
+    ``fn`` takes texts and returns which to keep and, or None, what they become; a new
+    text's length replaces ``n_chars`` where there is such a column.
+    """
+    schema = to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, rows):
+                part = b.slice(a, rows)
+                old = part.column(part.schema.get_field_index("text")).to_pylist()
+                keep, new = fn(old)
+                columns = dict(zip(part.schema.names, part.columns, strict=True))
+                if new is not None:
+                    columns["text"] = pa.array(new, type=schema.field("text").type)
+                    if "n_chars" in columns and any(x != y for x, y in zip(old, new, strict=True)):
+                        n = [m if x == y else len(y) for m, x, y in zip(columns["n_chars"].to_pylist(), old, new, strict=True)]
+                        columns["n_chars"] = pa.array(n, type=schema.field("n_chars").type)
+                out = pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+                yield out.filter(pa.array(keep, type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

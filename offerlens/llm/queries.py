@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hash_search, language_ppm, minhash_trees, packing, quality_mil, vector_dedup
+from . import feistel, hash_search, language_ppm, minhash_trees, packing, pieces, quality_mil, secret_forest, toxicity_ordinal, vector_dedup
 from .sampling import fold
 
+#: Probability of any severity from which a text counts as toxic: texts without evidence stay under 0.05.
+TOXIC_AT = 0.15
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -51,10 +54,34 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per find; the key is a stand-in for one that whoever runs this keeps."""
+    done = feistel.pseudonymise(table(spark, sf_dir, "documents"), b"a key for the example tables")
+    return done.select("doc_id", F.explode("finds").alias("f")).select("doc_id", "f.kind", "f.start", "f.end", "f.pseudonym")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_trees.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per confirmed secret; the value itself appears only as a digest."""
+    found = secret_forest.scan(table(spark, sf_dir, "documents"), secret_forest.train(secret_forest.labelled_findings()))
+    rows = found.select("doc_id", F.explode("findings").alias("f")).where("f.secret")
+    return rows.select("doc_id", "f.start", "f.end", "f.score", F.sha2("f.value", 256).alias("value_sha256"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_ordinal.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    found = toxicity_ordinal.severity(docs, model)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "expected_severity", "grade", "p_toxic", (F.col("p_toxic") >= TOXIC_AT).alias("toxic"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_search.search(table(spark, sf_dir, "embeddings"))
 
@@ -64,7 +91,11 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op4_vector_dedup": op4_vector_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_pii": op6_pii,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_secrets": op8_secrets,
+    "op9_toxicity": op9_toxicity,
     "op10_nearest": op10_nearest,
 }
 
