@@ -28,6 +28,8 @@ MAX_DOCS = 6000
 PASSAGE_WORDS = 64
 #: Longest run of bytes in a passage; a longer one is cut, as a text may hold no white space.
 PASSAGE_BYTES = 2048
+#: Texts whose features are computed at once.
+FIT_ROWS = 200
 CLASSES = 14
 N_EXTRA = 8
 N_FEATURES = CLASSES * CLASSES + N_EXTRA
@@ -128,9 +130,13 @@ class Mil:
     def fit(self, texts: list[str | None], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 4e-3, decay: float = 1e-4, seed: int = 5) -> Mil:
         if not len(texts):
             return self
-        x, owner = features(texts)
+        parts = [features(texts[a:a + FIT_ROWS]) for a in range(0, len(texts), FIT_ROWS)]
+        owner = np.concatenate([own + k * FIT_ROWS for k, (_, own) in enumerate(parts)])
+        x = np.concatenate([p for p, _ in parts])
+        del parts
         self.mean, self.scale = x.mean(0), x.std(0) + 0.02
-        x = (x - self.mean) / self.scale
+        x -= self.mean
+        x /= self.scale
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
         rng, state = np.random.default_rng(seed), {}
         for epoch in range(epochs):
