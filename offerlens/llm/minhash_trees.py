@@ -5,8 +5,8 @@ signature of ``POSITIONS`` minwise tokens. In each of ``TREES`` independent
 trees a node picks a position (and with probability ``1/0.75 - 1`` a second one),
 and its documents branch by their token there: on average a pair at the
 threshold keeps one common child per level, so recall does not decay with depth
-as it would with one branch. Nodes of at most ``SMALL`` classes are compared
-exhaustively; larger ones branch again.
+as it would with one branch. Nodes in which no more than ``SMALL`` pairs per
+member are of different components are compared exhaustively; others branch again.
 
 A group of m near copies never separates in a tree, so first, in nodes of a fixed
 depth, all members are compared with the node's first member only. Trees then
@@ -33,12 +33,18 @@ from .graph import components
 from .scratch import Scratch
 from .shingles import shingle_set
 
-POSITIONS, TREES, SMALL = 64, 10, 64
+#: Minwise tokens, trees, and comparisons for each member up to which a node is compared exhaustively.
+POSITIONS, TREES, SMALL = 128, 10, 128
+#: Members of a node's largest component that one task compares with all others.
+SLICE = 2048
 #: Depth of the nodes whose members are compared with one member, and how many such nodes a document is in.
 LEADER_DEPTH, LEADER_NODES = 4, 16
-#: Positions that must agree before sets are compared: at similarity 0.75 fewer agree with probability under 1e-5.
-AGREE = 32
+#: Positions that must agree before sets are compared: four standard errors under what similarity 0.75 gives.
+AGREE = 77
 MAX_DEPTH = 30
+#: Smallest hashes of a set kept beside the signature. A set of no more is there whole, so its similarities are exact;
+#: for others the estimate may fall short of 0.75 by four standard errors.
+LOWEST, EXACT_AT, GUESS_AT = 256, 0.749, 0.64
 #: Members that one comparison task of a leader takes.
 CHUNK = 32
 #: Ids whose set is broadcast at most; above, the join shuffles.
@@ -55,30 +61,45 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(sets)
     low = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
+    x, y = np.empty_like(low), np.empty_like(low)
     for k in range(POSITIONS):
-        x = low * _A[k]
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        x ^= x >> np.uint32(13)
+        np.multiply(low, _A[k], out=x)
+        np.right_shift(x, np.uint32(15), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.multiply(x, np.uint32(0x2C1B3C6D), out=x)
         out[:, k] = np.minimum.reduceat(x, starts).view(np.int32)
     return out
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, print`` (128-bit print of the set) and ``sig``; the last two are null for empty sets."""
+    """``doc_id, n_shingles, print`` (128-bit print of the set), ``sig`` and ``low``; the last three are null for empty sets."""
 
     def run(doc_id: list, text: list) -> dict:
         sets = [shingle_set(t) for t in text]
         full = [i for i, s in enumerate(sets) if len(s)]
         sig: list = [None] * len(sets)
         mark: list = [None] * len(sets)
+        low: list = [None] * len(sets)
         for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
             sig[i] = row
+            low[i] = (sets[i][:LOWEST] >> np.uint64(32)).astype("<u4").tobytes()
             mark[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-        return {"doc_id": doc_id, "n_shingles": [len(s) for s in sets], "print": mark, "sig": sig}
+        return {"doc_id": doc_id, "n_shingles": [len(s) for s in sets], "print": mark, "sig": sig, "low": low}
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return map_columns(rows, "doc_id long, n_shingles long, print binary, sig array<int>", run)
+    return map_columns(rows, "doc_id long, n_shingles long, print binary, sig array<int>, low binary", run)
+
+
+def may_be_near(a: np.ndarray, b: np.ndarray) -> bool:
+    """False if the smallest hashes of two sets show that they are not similar enough."""
+    whole = len(a) < LOWEST and len(b) < LOWEST
+    if not whole:  # both sets are known up to here
+        top = min(x[-1] for x in (a, b) if len(x) == LOWEST)
+        a, b = a[:np.searchsorted(a, top, "right")], b[:np.searchsorted(b, top, "right")]
+    both = np.concatenate([a, b])
+    both.sort()
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return common >= (EXACT_AT if whole else GUESS_AT) * (len(both) - common)
 
 
 def near_enough(a: np.ndarray, b: np.ndarray) -> bool:
@@ -145,43 +166,56 @@ def branch(rows: DataFrame) -> DataFrame:
 
 
 def node_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs ``u < v`` of different components inside the nodes of ``(node, id, comp, sig)`` whose signatures agree enough."""
+    """Pairs ``u < v`` of different components inside the node parts of ``(node, part, id, comp, sig, low)`` that may be near."""
 
-    def run(starts: np.ndarray, id: pa.ChunkedArray, comp: pa.ChunkedArray, sig: pa.ChunkedArray, **_: pa.ChunkedArray) -> dict:  # noqa: A002
+    def run(starts: np.ndarray, id: pa.ChunkedArray, comp: pa.ChunkedArray, sig: pa.ChunkedArray, low: pa.ChunkedArray, **_: pa.ChunkedArray) -> dict:  # noqa: A002
         ids, comps = id.to_numpy(), comp.to_numpy()
         sigs = sig.combine_chunks().flatten().to_numpy().reshape(len(ids), POSITIONS)
+        lows = [np.frombuffer(x, dtype="<u4") for x in low.to_pylist()]
         first, second = [], []
         for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
             for i in range(a, b - 1):
                 near = ((sigs[i + 1:b] == sigs[i]).sum(1) >= AGREE) & (comps[i + 1:b] != comps[i])
-                if near.any():
-                    other = ids[i + 1:b][near]
-                    first.append(np.minimum(other, ids[i]))
-                    second.append(np.maximum(other, ids[i]))
-        return {"u": np.concatenate(first) if first else [], "v": np.concatenate(second) if second else []}
+                for j in np.flatnonzero(near) + i + 1:
+                    if may_be_near(lows[i], lows[j]):
+                        first.append(min(ids[i], ids[j]))
+                        second.append(max(ids[i], ids[j]))
+        return {"u": first, "v": second}
+
+    return stream_groups(rows, ["node", "part"], "u long, v long", run).distinct()
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """``(node, id, comp, part, done)`` of the nodes that hold two components; ``done`` ones are to be compared now.
 
-    return stream_groups(rows, ["node"], "u long, v long", run).distinct()
+    A done node is large only if nearly all of it is one component. That one is
+    dealt in slices, and each slice meets all the others, who are few.
+    """
+    sizes = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
+    nodes = sizes.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"))
+    nodes = nodes.where("k > 1").select("node", "n", F.col("top.comp").alias("top"), ((F.col("n") * F.col("n") - F.col("same")) <= 2 * SMALL * F.col("n")).alias("done"))
+    slices = F.when(F.col("done"), F.ceil(F.col("n") / SLICE)).otherwise(F.lit(1))
+    mine = F.array(F.pmod(F.xxhash64("id"), F.col("slices")))
+    part = F.when(F.col("comp") == F.col("top"), mine).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
+    return rows.join(nodes, "node").withColumn("slices", slices.cast("long")).select("node", "id", "comp", "done", F.explode(part).alias("part"))
 
 
 def tree_pairs(reps: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidate pairs of different components from all trees."""
-    start = reps.join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "sig")
-    start = scratch.save(start)
+    start = scratch.save(reps.join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "sig", "low"))
     sig = start.select("id", "sig")
     rows = branch(start.withColumn("node", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long")))))
     found = None
     for depth in range(1, MAX_DEPTH + 1):
         rows = scratch.save(rows)
-        mixed = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        live = scratch.save(rows.join(mixed.select("node", "n"), "node").select("node", "id", "comp", "n"))
+        live = scratch.save(settle(rows))
         scratch.drop(rows)
-        small = live if depth == MAX_DEPTH else live.where(F.col("n") <= SMALL)
-        got = scratch.save(node_pairs(small.join(sig, "id").select("node", "id", "comp", "sig")))
+        now, later = (live, live.limit(0)) if depth == MAX_DEPTH else (live.where("done"), live.where("not done"))
+        got = scratch.save(node_pairs(now.join(start.select("id", "sig", "low"), "id").select("node", "part", "id", "comp", "sig", "low")))
         found = got if found is None else found.unionByName(got)
-        large = live.where(F.col("n") > SMALL)
-        if depth == MAX_DEPTH or large.isEmpty():
+        if depth == MAX_DEPTH or later.isEmpty():
             break
-        rows = branch(large.join(sig, "id").select("node", "id", "comp", "sig"))
+        rows = branch(later.join(sig, "id").select("node", "id", "comp", "sig"))
     return found.distinct()
 
 
@@ -194,7 +228,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = sets.select("doc_id", "n_shingles", "print").join(classes, "print", "left").select("doc_id", "n_shingles", "id")
     member = scratch.save(member)
     reps = scratch.save(full.join(member.where("doc_id = id").select("doc_id").distinct(), "doc_id", "left_semi")
-                        .select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"]))
+                        .select(F.col("doc_id").alias("id"), "sig", "low").dropDuplicates(["id"]))
     scratch.drop(sets)
     starred = confirm(leaders(reps), docs, scratch)
     comps = components(starred, scratch)
