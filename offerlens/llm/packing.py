@@ -15,7 +15,6 @@ input are ignored, whatever their names.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from functools import lru_cache
 
@@ -26,18 +25,20 @@ from .batches import map_columns
 from .scratch import Scratch
 
 WIDTH, END_ID = 4096, 2
-#: Distinct words a worker remembers before it starts anew.
-MEMO_WORDS = 200_000
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+#: Distinct words a worker remembers before it starts anew; words encoded in one call.
+MEMO_WORDS, TOGETHER = 1_000_000, 20_000
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds(dict):
-    """Little-endian unsigned 32-bit ids of each word, encoded when first met.
+    """Little-endian unsigned 32-bit ids of each word, in ASCII lower case, encoded when first met.
 
-    The tokenizer drops white space and never joins across it, so a document's
-    ids are its words' ids in order.
+    The tokenizer drops white space, lowers case and never joins a letter to what
+    is not one, so a document's ids are its words' ids in order, and a word's are
+    those of its letters and of the marks behind them. Words of letters only
+    have exactly one id that ends a word, at their end: many are encoded in one call.
     """
 
     def __init__(self, path: str):
@@ -45,20 +46,45 @@ class WordIds(dict):
 
         super().__init__()
         self.tok = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        self.ends[[i for w, i in self.tok.get_vocab().items() if w.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        got = self[word] = self.whole(word)
+    def __missing__(self, word: bytes) -> bytes:
+        got = self[word] = self.whole(word.decode())
         return got
 
-    def encode(self, text: str) -> bytes:
-        if _ODD.search(text):  # special-token strings, and separators that only Python splits at
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def learn(self, words: set[bytes]) -> None:
+        if len(self) + len(words) > MEMO_WORDS:
+            self.clear()
+        new = [w for w in words if w not in self]
+        letters, marked = {}, []
+        for w in new:
+            core = w.rstrip(_MARKS)
+            text = core.decode()
+            if text.isalpha():
+                if core not in self:
+                    letters[core] = text
+                if len(core) < len(w):
+                    marked.append((w, core))
+        keys, texts = list(letters), list(letters.values())
+        for a in range(0, len(keys), TOGETHER):
+            ids = np.asarray(self.tok.encode(" ".join(texts[a:a + TOGETHER]), add_special_tokens=False).ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            part = keys[a:a + TOGETHER]
+            if len(cuts) == len(part):
+                data = ids.tobytes()
+                self.update(zip(part, (data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
+        for w, core in marked:
+            self[w] = self[core] + self[w[len(core):]]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        words = [(t or "").encode().lower().split() for t in texts]
+        self.learn(set().union(*words))
+        # strings of special tokens count as such only in the whole text
+        return [self.whole(t) if t and "<|" in t else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -72,8 +98,8 @@ def cut(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID) ->
 
     def run(doc_id: list, text: list) -> dict:
         ids, rows = word_ids(path), []
-        for doc, t in zip(doc_id, text, strict=True):
-            data = (ids.encode(t) if t else b"") + tail
+        for doc, data in zip(doc_id, ids.encode_all(text), strict=True):
+            data += tail
             n = len(data) // 4
             for at in range(0, n, width):
                 part = data[4 * at:4 * (at + width)]
