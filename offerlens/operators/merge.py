@@ -30,7 +30,9 @@ def dedupe_offers(offers: DataFrame, name: str = "name", order: str = "position"
     key = [F.lower(F.trim(F.col(name))).alias("_name"), F.col("vintage").alias("_vintage")]
     group_cols = [F.col("source").alias("_source"), *key]
     row = F.struct(F.col(order).alias("_o"), *(F.col(c) for c in offers.columns if c != order))
-    groups = offers.groupBy(*group_cols).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    groups = offers.groupBy(*group_cols).agg(F.collect_list(row).alias("rows"))
+    by_position = lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)
+    groups = groups.withColumn("rows", F.array_sort("rows", by_position))
     price = lambda r: F.coalesce(F.nullif(r["price"], F.lit(0.0)), F.lit(9e9))
     wins = lambda old, new: ((old["confidence"] == "low") & (new["confidence"] != "low")) | (price(new) < price(old))
     kept = F.aggregate(F.slice(F.col("rows"), 2, 1_000_000), F.col("rows")[0], lambda old, new: F.when(wins(old, new), new).otherwise(old))
