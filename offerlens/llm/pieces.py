@@ -20,17 +20,16 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import map_columns
+from .batches import held, map_columns
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS, TOGETHER = 600_000, 20_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int, int | bytes]]:
@@ -125,7 +124,7 @@ class Bridge:
 
     def __init__(self, path: str):
         import sentencepiece
-        from tokenizers import Tokenizer, decoders, models, normalizers
+        from tokenizers import Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         with open(path, "rb") as f:
             self.model = m = Model.parse(f.read())
@@ -143,6 +142,9 @@ class Bridge:
             raise ValueError("only unigram and BPE models are supported")
         self.normal = normalizers.Precompiled(m.charsmap) if m.charsmap else None
         self.tok = Tokenizer(core)
+        self.words = Tokenizer(core)  # for many one-marker chunks in one text
+        self.words.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
+        self.opens = np.asarray([p.startswith(MARK) for p, *_ in m.pieces])
         steps = [decoders.ByteFallback()] if m.byte_fallback else []
         self.tok.decoder = decoders.Sequence([*steps, decoders.Fuse()])
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -180,10 +182,30 @@ class Bridge:
             self.differ.clear()
         self.seen[""] = b""
         new = [c for c in wanted if c not in self.seen]
+        one = [c for c in new if c[0] == MARK and len(c) > 1 and MARK not in c[1:]] if not (self.across or self.user) else []
+        for a in range(0, len(one), TOGETHER):
+            self._together(one[a:a + TOGETHER])
+        self._apart([c for c in new if c not in self.seen])
+
+    def _together(self, chunks: list[str]) -> None:
+        """Encode chunks that each open with their only marker as one text, if that gives one opening piece for each."""
+        text = "".join(chunks)
+        ids = self.words.encode(text, add_special_tokens=False).ids
+        plain = text.replace(MARK, " ")
+        plain = plain[1:] if self.model.dummy_prefix else plain
+        if self.normalised(plain) != text or self.reference.encode(plain, num_threads=1) != ids:
+            return  # taken apart, to find the chunks that differ
+        flat = np.asarray(ids, dtype="<u4")
+        cuts = (4 * np.flatnonzero(self.opens[flat])).tolist()
+        if len(cuts) == len(chunks) and cuts[0] == 0:
+            data = flat.tobytes()
+            self.seen.update(zip(chunks, (data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)), strict=True))
+
+    def _apart(self, new: list[str]) -> None:
         got = self.tok.encode_batch(new, add_special_tokens=False)
         plain = [c.replace(MARK, " ") for c in new]
         lead = self.model.dummy_prefix
-        told = self.reference.encode([p[1:] if lead and p.startswith(" ") else p for p in plain], num_threads=1)
+        told = self.reference.encode([p[1:] if lead and p.startswith(" ") else p for p in plain], num_threads=1) if new else []
         for c, p, e, r in zip(new, plain, got, told, strict=True):
             # the library sees the chunk as a text; where it would change that text, only whole texts are comparable
             comparable = self.normalised(p[1:] if lead and p.startswith(" ") else p) == c
@@ -216,9 +238,8 @@ class Bridge:
         return [t[1:] if self.model.dummy_prefix and t.startswith(" ") else t for t in texts]
 
 
-@lru_cache(maxsize=2)
 def bridge(path: str) -> Bridge:
-    return Bridge(path)
+    return held("pieces " + path, lambda: Bridge(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
