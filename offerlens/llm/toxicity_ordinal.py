@@ -32,7 +32,7 @@ MAX_DOCS = 8000
 MIN_TEXTS, MIN_Z, MIN_LIFT = 4, 4.0, 3.0
 #: Further occurrences of singled-out words that each raise a toxic text's grade by one.
 STEPS = (3, 6)
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -79,10 +79,8 @@ class Ordinal:
             return self
         total: dict[str, int] = {}
         hit: dict[str, int] = {}
-        bags = []
         for t, g in zip(texts, grade, strict=True):
             bag = {p for w in set(words(t)) for p in parts(w)}
-            bags.append(bag)
             for f in bag:
                 total[f] = total.get(f, 0) + 1
             if g:
@@ -92,14 +90,10 @@ class Ordinal:
         keep = sorted(f for f, c in total.items() if c >= MIN_TEXTS and hit.get(f, 0) >= MIN_LIFT * mean * c
                       and hit.get(f, 0) / c - mean > MIN_Z * sd / np.sqrt(c))
         self.index = {f: i for i, f in enumerate(keep)}
-        rows, cols = [], []
-        for i, bag in enumerate(bags):
-            for f in bag:
-                k = self.index.get(f)
-                if k is not None:
-                    rows.append(i)
-                    cols.append(k)
-        r, c = np.asarray(rows, dtype=np.int64), np.asarray(cols, dtype=np.int64)
+        del total, hit
+        self._memo = {}
+        found = [np.fromiter(self.features(t), dtype=np.int64) for t in texts]  # a second reading: all features of all texts would not fit
+        r, c = np.repeat(np.arange(n), [len(f) for f in found]), np.concatenate(found)
         w = v = np.zeros(len(keep))
         share = np.clip([(grade <= k).mean() for k in range(levels)], 1e-4, 1 - 1e-4)
         theta = tv = np.log(share / (1 - share))
