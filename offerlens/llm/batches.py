@@ -11,6 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+_held: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between batches: one such memory at a time, as workers serve one operator after another."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 #: Rows given to a function at once, so that its own arrays stay small beside the batch.
 ROWS = 400
 

@@ -16,17 +16,16 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .batches import map_columns
+from .batches import held, map_columns
 from .scratch import Scratch
 
 WIDTH, END_ID = 4096, 2
 #: Distinct words a worker remembers before it starts anew; words encoded in one call.
-MEMO_WORDS, TOGETHER = 1_000_000, 20_000
+MEMO_WORDS, TOGETHER = 700_000, 20_000
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -87,9 +86,8 @@ class WordIds(dict):
         return [self.whole(t) if t and "<|" in t else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held("packing " + path, lambda: WordIds(path))
 
 
 def cut(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import xxhash
 
+from .batches import held
+
 WORDS = 5
 #: Distinct words a worker remembers before it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 _ODD = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -21,9 +21,8 @@ class _WordHash(dict):
         return got
 
 
-@lru_cache(maxsize=1)
 def _memo() -> _WordHash:
-    return _WordHash()
+    return held("shingles", _WordHash)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
