@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .bind import let
+
 # Fixed values.
 VAT = 0.081
 REFERENCE_ML = 750
@@ -58,7 +60,11 @@ def parse_pack(text: Column) -> Column:
     ``MAX_UNITS`` make the result uncertain, and an uncertain one is never
     completed by assumption.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), UNIT_PRICE, " ")
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), UNIT_PRICE, " "), lambda t: let(_pack_parts(t), lambda p: let(_pack_ml(t, p), lambda q: _pack(t, q))))
+
+
+def _pack_parts(t: Column) -> Column:
+    """What the patterns find: ``struct(times, raw_units, pack_ml, volumes)``."""
     times = t.rlike(PACK_TIMES_VOLUME)
     raw_units = F.when(times, _group(t, PACK_TIMES_VOLUME, 1)).otherwise(
         F.coalesce(_group(t, PACK_ONLY, 1), _group(t, PACK_ONLY, 2), _group(t, PACK_ONLY, 3))).cast("int")
@@ -67,16 +73,22 @@ def parse_pack(text: Column) -> Column:
     found = F.zip_with(amounts, kinds, lambda a, k: to_ml(number(a), k))
     named = F.array(*(F.when(t.rlike("(?i)" + p), F.lit(ml)) for p, ml in NAMED_VOLUMES))
     volumes = F.array_distinct(F.filter(F.concat(found, named), lambda v: v.isNotNull()))
-    ml = F.when(times, pack_ml).otherwise(F.array_min(volumes))
-    units = F.when(raw_units <= MAX_UNITS, raw_units)
-    doubt = (
-        F.when(times, pack_ml.isNull()).otherwise(F.size(volumes) > 1)
-        | (t.rlike(POUCH) & ml.isNull())
-        | F.coalesce(raw_units > MAX_UNITS, F.lit(False))
-        | (units.isNull() & t.rlike(CARTON))
-    )
+    return F.struct(times.alias("times"), raw_units.alias("raw_units"), pack_ml.alias("pack_ml"), volumes.alias("volumes"))
+
+
+def _pack_ml(t: Column, p: Column) -> Column:
+    """``struct(units, ml, doubt)`` from the parts."""
+    ml = F.when(p["times"], p["pack_ml"]).otherwise(F.array_min(p["volumes"]))
+    units = F.when(p["raw_units"] <= MAX_UNITS, p["raw_units"])
+    doubt = (F.when(p["times"], p["pack_ml"].isNull()).otherwise(F.size(p["volumes"]) > 1) | (t.rlike(POUCH) & ml.isNull())
+             | F.coalesce(p["raw_units"] > MAX_UNITS, F.lit(False)) | (units.isNull() & t.rlike(CARTON)))
+    return F.struct(units.alias("units"), ml.alias("ml"), doubt.alias("doubt"))
+
+
+def _pack(t: Column, q: Column) -> Column:
+    ml, doubt = q["ml"], q["doubt"]
     return F.struct(
-        units.alias("units"),
+        q["units"].alias("units"),
         F.when(ml.isNotNull(), ml).when(~doubt, F.lit(REFERENCE_ML)).alias("bottle_ml"),
         (~doubt).alias("certain"),
         (ml.isNull() & ~doubt).alias("assumed"),
@@ -95,27 +107,27 @@ def normalize_price(
     The price is per ``REFERENCE_ML`` including tax. The tax status is the given
     one, else what the text says (excluded before included), else the default.
     """
-    t = F.coalesce(text, F.lit(""))
-    pack = parse_pack(t)
-    units, ml = pack["units"], pack["bottle_ml"]
-    told = F.when(t.rlike(EXCL_VAT), False).when(t.rlike(INCL_VAT), True).otherwise(F.lit(default_vat_included))
-    included = F.coalesce(vat_included, told) if vat_included is not None else told
-    if price_basis == "auto":
-        per = F.when(t.rlike(PER_BOTTLE), 1).when(units > 1, units).otherwise(1)
-    elif price_basis == "pack":
-        per = F.coalesce(units, F.lit(1))
-    else:
-        per = F.lit(1)
-    per = F.when(per == 0, 1).otherwise(per)
-    certain = pack["certain"] & (units.isNotNull() if price_basis == "pack" else F.lit(True))
-    each = amount / per * (F.lit(float(REFERENCE_ML)) / F.coalesce(ml, F.lit(REFERENCE_ML)))
-    price = cents(F.when(included, each).otherwise(each * (1 + VAT)))
-    confidence = F.when(amount.isNull() | ~certain, "low").when((ml == REFERENCE_ML) & ~pack["assumed"], "high").otherwise("medium")
-    known = amount.isNotNull()
-    return F.struct(
-        F.when(known, price).alias("price"), amount.alias("raw"), confidence.alias("confidence"), F.when(known, ml).alias("bottle_ml"),
-        F.when(known, units).alias("units"), (known & ~included).alias("vat_added"), F.when(known, per > 1).alias("raw_is_pack"),
-    )
+    told = lambda t: F.when(t.rlike(EXCL_VAT), False).when(t.rlike(INCL_VAT), True).otherwise(F.lit(default_vat_included))
+    status = lambda t: F.coalesce(vat_included, told(t)) if vat_included is not None else told(t)
+
+    def price(t: Column, pack: Column) -> Column:
+        units, ml = pack["units"], pack["bottle_ml"]
+        if price_basis == "auto":
+            per = F.when(t.rlike(PER_BOTTLE), 1).when(units > 1, units).otherwise(1)
+        elif price_basis == "pack":
+            per = F.coalesce(units, F.lit(1))
+        else:
+            per = F.lit(1)
+        certain = pack["certain"] & (units.isNotNull() if price_basis == "pack" else F.lit(True))
+        known = amount.isNotNull()
+        confidence = F.when(~known | ~certain, "low").when((ml == REFERENCE_ML) & ~pack["assumed"], "high").otherwise("medium")
+        parts = F.struct(F.when(per == 0, 1).otherwise(per).alias("per"), status(t).alias("included"))
+        return let(parts, lambda x: F.struct(
+            F.when(known, cents(amount / x["per"] * (F.lit(float(REFERENCE_ML)) / F.coalesce(ml, F.lit(REFERENCE_ML))) * F.when(x["included"], 1.0).otherwise(1 + VAT))).alias("price"),
+            amount.alias("raw"), confidence.alias("confidence"), F.when(known, ml).alias("bottle_ml"), F.when(known, units).alias("units"),
+            (known & ~x["included"]).alias("vat_added"), F.when(known, x["per"] > 1).alias("raw_is_pack")))
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(parse_pack(t), lambda pack: price(t, pack)))
 
 
 def describe_basis(units: Column, ml: Column, vat_included: Column) -> Column:

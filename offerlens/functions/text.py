@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from . import vocab
+from .bind import let
 from .vocab import WINE, Vocabulary
 
 # Fixed values.
@@ -99,8 +100,7 @@ def build_query(text: Column, v: Vocabulary = WINE) -> Column:
 
 def short_query(text: Column, v: Vocabulary = WINE) -> Column:
     """Query words cut to four, unless there are exactly five."""
-    words = query_tokens(text, v)
-    return F.array_join(F.when(F.size(words) == 5, words).otherwise(F.slice(words, 1, 4)), " ")
+    return let(query_tokens(text, v), lambda words: F.array_join(F.when(F.size(words) == 5, words).otherwise(F.slice(words, 1, 4)), " "))
 
 
 def normalized_name(text: Column, v: Vocabulary = WINE) -> Column:
@@ -109,11 +109,13 @@ def normalized_name(text: Column, v: Vocabulary = WINE) -> Column:
 
 def dedup_key(name: Column, vintage: Column, v: Vocabulary = WINE) -> Column:
     """Sorted tokens and vintage. Country names go if at least two distinctive words stay."""
-    words = tokenize(name, v)
-    bare = F.filter(words, lambda w: ~_has(v.countries, w))
-    enough = F.size(F.filter(bare, lambda w: is_distinctive(w, v))) >= 2
-    core = F.when((F.size(bare) < F.size(words)) & enough, bare).otherwise(words)
-    return F.concat(F.array_join(F.array_sort(core), " "), F.lit("|"), F.coalesce(vintage.cast("string"), F.lit("")))
+    def core(words: Column) -> Column:
+        bare = F.filter(words, lambda w: ~_has(v.countries, w))
+        enough = lambda b: (F.size(b) < F.size(words)) & (F.size(F.filter(b, lambda w: is_distinctive(w, v))) >= 2)
+        return let(bare, lambda b: F.when(enough(b), b).otherwise(words))
+
+    sorted_core = F.array_sort(let(tokenize(name, v), core))
+    return F.concat(F.array_join(sorted_core, " "), F.lit("|"), F.coalesce(vintage.cast("string"), F.lit("")))
 
 
 def colour_group(token: Column, v: Vocabulary = WINE) -> Column:
@@ -124,8 +126,7 @@ def colour_group(token: Column, v: Vocabulary = WINE) -> Column:
 
 
 def colour_from_text(text: Column, v: Vocabulary = WINE) -> Column:
-    t = fold(F.coalesce(text, F.lit("")))
-    return F.coalesce(*(F.when(t.contains(w), group) for group, words in v.compound_colours for w in words))
+    return let(fold(F.coalesce(text, F.lit(""))), lambda t: F.coalesce(*(F.when(t.contains(w), group) for group, words in v.compound_colours for w in words)))
 
 
 def any_word(words: Iterable[str], edge: str = "a-z0-9") -> str:
@@ -136,31 +137,39 @@ def any_word(words: Iterable[str], edge: str = "a-z0-9") -> str:
 
 def wine_style(name: Column, type_id: Column | None = None, v: Vocabulary = WINE) -> Column:
     """Style by the source's type, else by name: sparkling, sweet and rosé before colours, colour words before grapes."""
-    t = fold(F.coalesce(name, F.lit("")))
-    champagne = t.rlike(any_word(vocab.STYLE_WORDS["champagner"]))
-    by_name = F.when(champagne, "champagner")
-    for style in ("schaumwein", "suesswein", "rose"):
-        by_name = by_name.when(t.rlike(any_word(vocab.STYLE_WORDS[style])), style)
-    red, white = t.rlike(any_word(vocab.RED_WORDS)), t.rlike(any_word(vocab.WHITE_WORDS))
-    red_name, white_name = t.rlike(any_word(vocab.RED_NAMES)), t.rlike(any_word(vocab.WHITE_NAMES))
-    r, w = F.when(red | white, red).otherwise(red_name), F.when(red | white, white).otherwise(white_name)
-    tokens = tokenize(name, v)
-    rg, wg = F.exists(tokens, lambda x: _has(vocab.RED_GRAPES, x)), F.exists(tokens, lambda x: _has(vocab.WHITE_GRAPES, x))
-    by_name = by_name.when(r & ~w, "rot").when(w & ~r, "weiss").when(rg & ~wg, "rot").when(wg & ~rg, "weiss").otherwise("unbekannt")
-    if type_id is None:
-        return by_name
-    told = F.lit(None).cast("string")
-    for k, style in vocab.STYLE_BY_TYPE.items():
-        told = F.when(type_id == k, style).otherwise(told)
-    return F.coalesce(F.when((told == "schaumwein") & champagne, "champagner").otherwise(told), by_name)
+    def decide(x: Column) -> Column:
+        t, tokens = x["t"], x["tokens"]
+        champagne = t.rlike(any_word(vocab.STYLE_WORDS["champagner"]))
+        by_name = F.when(champagne, "champagner")
+        for style in ("schaumwein", "suesswein", "rose"):
+            by_name = by_name.when(t.rlike(any_word(vocab.STYLE_WORDS[style])), style)
+        colour = F.struct(
+            t.rlike(any_word(vocab.RED_WORDS)).alias("r"), t.rlike(any_word(vocab.WHITE_WORDS)).alias("w"), t.rlike(any_word(vocab.RED_NAMES)).alias("rn"),
+            t.rlike(any_word(vocab.WHITE_NAMES)).alias("wn"), F.exists(tokens, lambda k: _has(vocab.RED_GRAPES, k)).alias("rg"), F.exists(tokens, lambda k: _has(vocab.WHITE_GRAPES, k)).alias("wg"))
+        no_word = lambda c: ~c["r"] & ~c["w"]
+        by_colour = let(colour, lambda c: F.when(c["r"] & ~c["w"], "rot").when(c["w"] & ~c["r"], "weiss").when(no_word(c) & c["rn"] & ~c["wn"], "rot")
+                        .when(no_word(c) & c["wn"] & ~c["rn"], "weiss").when(c["rg"] & ~c["wg"], "rot").when(c["wg"] & ~c["rg"], "weiss").otherwise("unbekannt"))
+        by_name = by_name.otherwise(by_colour)
+        if type_id is None:
+            return by_name
+        told = F.lit(None).cast("string")
+        for k, style in vocab.STYLE_BY_TYPE.items():
+            told = F.when(type_id == k, style).otherwise(told)
+        return F.coalesce(F.when((told == "schaumwein") & champagne, "champagner").otherwise(told), by_name)
+
+    return let(F.struct(fold(F.coalesce(name, F.lit(""))).alias("t"), tokenize(name, v).alias("tokens")), decide)
 
 
 def country(name: Column, region: Column | None = None, by_region: dict[str, str] | None = None) -> Column:
     """Country that a name states, else the one that a region implies, else ""."""
-    t = fold(F.coalesce(name, F.lit("")))
-    named = [F.when(t.rlike(any_word([w], "a-z")), label) for w, label in vocab.COUNTRY_LABELS.items()]
-    implied = [F.when(fold(F.coalesce(region, F.lit(""))).contains(w), label) for w, label in (by_region or {}).items()] if region is not None else []
-    return F.coalesce(*named, *implied, F.lit(""))
+    texts = F.struct(fold(F.coalesce(name, F.lit(""))).alias("n"), fold(F.coalesce(region, F.lit("")) if region is not None else F.lit("")).alias("r"))
+
+    def decide(t: Column) -> Column:
+        named = [F.when(t["n"].rlike(any_word([w], "a-z")), label) for w, label in vocab.COUNTRY_LABELS.items()]
+        implied = [F.when(t["r"].contains(w), label) for w, label in (by_region or {}).items()]
+        return F.coalesce(*named, *implied, F.lit(""))
+
+    return let(texts, decide)
 
 
 def private_label(name: Column, brands: list[str]) -> Column:
@@ -191,12 +200,11 @@ def critic_scores(text: Column, aliases: dict[str, str]) -> Column:
     names, points = F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), F.regexp_extract_all(t, F.lit(pattern), F.lit(2))
 
     def key(name: Column) -> Column:
-        n = F.trim(fold(name))
-        return F.coalesce(*(F.when(n.endswith(a), k) for a, k in sorted(aliases.items(), key=lambda x: -len(x[0]))))
+        return let(F.trim(fold(name)), lambda n: F.coalesce(*(F.when(n.endswith(a), k) for a, k in sorted(aliases.items(), key=lambda x: -len(x[0])))))
 
     pairs = F.filter(F.zip_with(names, points, lambda n, p: F.struct(key(n).alias("k"), p.cast("double").alias("p"))), lambda e: e["k"].isNotNull() & e["p"].between(50, 100))
-    keys = F.array_distinct(F.transform(pairs, lambda e: e["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_max(F.transform(F.filter(pairs, lambda e: e["k"] == k), lambda e: e["p"]))))
+    best = lambda ps, k: F.array_max(F.transform(F.filter(ps, lambda e: e["k"] == k), lambda e: e["p"]))
+    return let(pairs, lambda ps: let(F.array_distinct(F.transform(ps, lambda e: e["k"])), lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: best(ps, k)))))
 
 
 def search_url(base: str, query: Column) -> Column:

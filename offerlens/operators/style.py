@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
+from ..functions.bind import let
 from ..functions.prices import number
 from ..functions.text import any_word, umlauts_to_vowels
 
@@ -84,15 +85,26 @@ def taste_score(taste: Column) -> Column:
 
 def classify(name: Column, sheet: Column, denomination: Column, vintage: Column, style_name: Column, taste: Column, baseline: Column, lists: Lists) -> Column:
     """``struct(typ, stage, signals, score)``; ``typ`` is ``unbekannt`` where nothing speaks."""
-    n, s, d = (umlauts_to_vowels(F.coalesce(c, F.lit(""))) for c in (name, sheet, denomination))
+    texts = F.struct(*(umlauts_to_vowels(F.coalesce(c, F.lit(""))).alias(a) for c, a in ((name, "n"), (sheet, "s"), (denomination, "d"), (style_name, "y"))))
+    return let(texts, lambda t: let(_signals(t, vintage, taste, baseline, lists), lambda x: _cascade(x, denomination, style_name, lists)))
+
+
+def _signals(t: Column, vintage: Column, taste: Column, baseline: Column, lists: Lists) -> Column:
+    n = t["n"]
+    built = vintage.isNull() | n.rlike(_pattern("n v")) | F.exists(F.array(*map(F.lit, BLENDS)), lambda b: t["y"].contains(b))
+    judged = taste["sweetness"].isNotNull() & (taste["count"] >= MIN_JUDGMENTS)
+    return F.struct(
+        _hits(n, lists.sweet).alias("sweet"), _hits(n, lists.brands).alias("brand"), _measure(t["s"], SUGAR).alias("sugar"), _measure(t["s"], ACID).alias("acid"),
+        _measure(t["s"], ALCOHOL).alias("alcohol"), (F.size(_hits(t["d"], lists.no_origin)) > 0).alias("origin"), built.alias("built"),
+        F.when(judged, taste_score(taste)).alias("own"), F.when(baseline["sweetness"].isNotNull(), taste_score(baseline)).alias("usual"))
+
+
+def _cascade(x: Column, denomination: Column, style_name: Column, lists: Lists) -> Column:
     verdict = lambda typ, stage, signals, score=None: F.struct(
         (typ if isinstance(typ, Column) else F.lit(typ)).alias("typ"), F.lit(stage).alias("stage"), signals.alias("signals"), (F.lit(None).cast("double") if score is None else score).alias("score"))
-    sweet, brand = _hits(n, lists.sweet), _hits(n, lists.brands)
-    sugar, acid, alcohol = _measure(s, SUGAR), _measure(s, ACID), _measure(s, ALCOHOL)
+    sweet, brand, sugar, acid, alcohol = (x[k] for k in ("sweet", "brand", "sugar", "acid", "alcohol"))
     g = lambda label, v, unit: F.format_string(f"{label} %.1f {unit}", v)
-    origin = F.size(_hits(d, lists.no_origin)) > 0
-    built = vintage.isNull() | n.rlike(_pattern("n v")) | F.exists(F.array(*map(F.lit, BLENDS)), lambda b: umlauts_to_vowels(F.coalesce(style_name, F.lit(""))).contains(b))
-    own, usual = taste_score(taste), taste_score(baseline)
+    origin, built, own, usual = x["origin"], x["built"], x["own"], x["usual"]
     table = F.create_map(*(F.lit(x) for kv in lists.styles.items() for x in kv))[style_name] if lists.styles else F.lit(None).cast("string")
     none = F.array().cast("array<string>")
     return F.coalesce(
@@ -103,8 +115,8 @@ def classify(name: Column, sheet: Column, denomination: Column, vintage: Column,
         F.when(alcohol >= ALCOHOL_SWEET, verdict("fruchtsuess", 1, F.array(g("alcohol", alcohol, "%%")))),
         F.when(origin & built, verdict("fruchtsuess", 1, F.array(denomination))),
         F.when(origin, verdict("weich_modern", 2, F.array(denomination))),
-        F.when(taste["sweetness"].isNotNull() & (taste["count"] >= MIN_JUDGMENTS), verdict(type_of_score(own), 2, F.array(F.lit("taste")), F.round(own, 3))),
-        F.when(baseline["sweetness"].isNotNull(), verdict(type_of_score(usual), 2, F.array(F.lit("style baseline")), F.round(usual, 3))),
+        F.when(own.isNotNull(), verdict(type_of_score(own), 2, F.array(F.lit("taste")), F.round(own, 3))),
+        F.when(usual.isNotNull(), verdict(type_of_score(usual), 2, F.array(F.lit("style baseline")), F.round(usual, 3))),
         F.when(table.isNotNull(), verdict(table, 2, F.array(style_name))),
         verdict("unbekannt", 0, none))
 
