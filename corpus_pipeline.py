@@ -52,7 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return left
     few = again.count() <= minhash_trees.BROADCAST_IDS
     other = F.broadcast(again) if few else again
-    first = left.join(other, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
+    n = next(c for k in range(len(docs.columns) + 1) if (c := f"_n{k}") not in docs.columns)
+    first = left.join(other, "doc_id", "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(n) == 1)
     return left.join(other, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 

@@ -226,7 +226,13 @@ class Bridge:
         ids = [i for i in ids if i not in self.silent]
         if ids and not 0 <= min(ids) <= max(ids) < len(self.model.pieces):
             raise ValueError("an id is outside the vocabulary")
-        text = self.tok.decode(ids, skip_special_tokens=False).replace(MARK, " ")
+        return self.opened(self.tok.decode(ids, skip_special_tokens=False))
+
+    def opened(self, text: str) -> str:
+        """Markers as spaces, without those that normalising puts or leaves none of in front."""
+        text = text.replace(MARK, " ")
+        if self.model.one_space:
+            return text.lstrip(" ")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
     def decode_all(self, many: list[list[int]]) -> list[str]:
@@ -234,8 +240,7 @@ class Bridge:
             if ids and not 0 <= min(ids) <= max(ids) < len(self.model.pieces):
                 raise ValueError("an id is outside the vocabulary")
         texts = self.tok.decode_batch([[i for i in ids if i not in self.silent] for ids in many], skip_special_tokens=False)
-        texts = [t.replace(MARK, " ") for t in texts]
-        return [t[1:] if self.model.dummy_prefix and t.startswith(" ") else t for t in texts]
+        return [self.opened(t) for t in texts]
 
 
 def bridge(path: str) -> Bridge:
@@ -268,10 +273,9 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         b = bridge(path)
         got = b.encode_all(text)
         back = b.decode_all([np.frombuffer(data, dtype="<u4").tolist() for data, _ in got])
-        shown = [b.normalised(t).replace(MARK, " ") if t else "" for t in text]
-        lead = int(b.model.dummy_prefix)
+        shown = [b.opened(b.normalised(t)) if t else "" for t in text]
         return {"doc_id": doc_id, "n_tokens": [len(d) // 4 for d, _ in got], "ids_crc32": [zlib.crc32(d) for d, _ in got],
-                "parity": [p for _, p in got], "restored": [x == s[lead:] for x, s in zip(back, shown, strict=True)]}
+                "parity": [p for _, p in got], "restored": [x == s for x, s in zip(back, shown, strict=True)]}
 
     return map_columns(docs.select(F.col("doc_id").cast("long"), "text"),
                        "doc_id long, n_tokens long, ids_crc32 long, parity boolean, restored boolean", run)

@@ -3,7 +3,7 @@
 ``P(grade <= k) = sigmoid(theta_k - w . x)``: one weight vector is shared by all
 ordered thresholds. Features are sparse: the words of a text and their
 beginnings of three to five letters, so that inflected forms share evidence.
-Fitting keeps the features in whose texts the grade is several times its mean,
+Fitting keeps the features in whose texts a grade has several times its usual odds,
 then takes accelerated proximal gradient steps with an L1 penalty, which leaves
 few weights. The result
 is the expected severity and the probability of each grade from 1 on.
@@ -28,8 +28,8 @@ from .batches import map_columns
 from .sampling import bounded
 
 MAX_DOCS = 8000
-#: Texts a feature must occur in, standard errors by which it must raise their mean grade, and the factor of it.
-MIN_TEXTS, MIN_Z, MIN_LIFT = 4, 4.0, 3.0
+#: Texts a feature must occur in, standard errors by which it must raise the share with a grade, and the factor on its odds.
+MIN_TEXTS, MIN_Z, MIN_ODDS = 4, 4.0, 4.0
 #: Further occurrences of singled-out words that each raise a toxic text's grade by one.
 STEPS = (3, 6)
 MEMO_WORDS = 200_000
@@ -75,7 +75,7 @@ class Ordinal:
     def fit(self, texts: list[str | None], grade: np.ndarray, rounds: int = 400, rate: float = 1.0, l1: float = 1e-5) -> Ordinal:
         grade = np.asarray(grade, dtype=np.int64)
         levels = int(grade.max(initial=0))
-        if not len(texts) or levels == 0 or grade.min() == levels:
+        if not len(texts) or levels == 0 or grade.min() > 0:
             return self
         total: dict[str, int] = {}
         hit: dict[str, int] = {}
@@ -85,24 +85,25 @@ class Ordinal:
                 total[f] = total.get(f, 0) + 1
             if g:
                 for f in bag:
-                    hit[f] = hit.get(f, 0) + int(g)
-        n, mean, sd = len(texts), grade.mean(), grade.std()
-        keep = sorted(f for f, c in total.items() if c >= MIN_TEXTS and hit.get(f, 0) >= MIN_LIFT * mean * c
-                      and hit.get(f, 0) / c - mean > MIN_Z * sd / np.sqrt(c))
+                    hit[f] = hit.get(f, 0) + 1
+        n, share = len(texts), (grade > 0).mean()
+        odds = share / (1 - share)
+        rises = lambda h, c: h / c - share > MIN_Z * np.sqrt(share * (1 - share) / c) and h >= MIN_ODDS * odds * (c - h)
+        keep = sorted(f for f, c in total.items() if c >= MIN_TEXTS and rises(hit.get(f, 0), c))
         self.index = {f: i for i, f in enumerate(keep)}
         del total, hit
         self._memo = {}
         found = [np.fromiter(self.features(t), dtype=np.int64) for t in texts]  # a second reading: all features of all texts would not fit
         r, c = np.repeat(np.arange(n), [len(f) for f in found]), np.concatenate(found)
         w = v = np.zeros(len(keep))
-        share = np.clip([(grade <= k).mean() for k in range(levels)], 1e-4, 1 - 1e-4)
-        theta = tv = np.log(share / (1 - share))
+        under = np.clip([(grade <= k).mean() for k in range(levels)], 1e-4, 1 - 1e-4)
+        theta = tv = np.log(under / (1 - under))
         low = grade[:, None] <= np.arange(levels)[None, :]
         # curvature: the largest eigenvalue of the features' second moments, by power iteration, with a margin
         u = np.ones(len(keep))
         for _ in range(30):
             u /= np.linalg.norm(u) or 1.0
-            u = np.bincount(c, weights=np.bincount(r, weights=u[c], minlength=n)[r], minlength=len(keep))
+            u = np.bincount(c, weights=np.bincount(r, weights=u[c], minlength=n)[r], minlength=len(keep)).astype(float)
         bound = 0.25 * levels * 1.2 * np.linalg.norm(u) / n
         step, tstep, moment = rate / max(bound, 1e-3), rate / 0.5, 1.0
         for _ in range(rounds):

@@ -1,0 +1,494 @@
+"""The ten operators against plain versions, round trips and held-out rows; and on odd input."""
+
+import random
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from offerlens.llm import (batches, feistel, graph, hash_search, language_ppm, minhash_trees, packing, pieces, quality_mil, queries,
+                           secret_forest, toxicity_ordinal, vector_dedup)
+from offerlens.llm.scratch import Scratch
+from offerlens.llm.shingles import shingle_set
+from tests_llm_helpers import brute_components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, start string, component string"
+
+
+def words(rng, n, low=0, high=400):
+    return " ".join(f"w{rng.randint(low, high)}" for _ in range(n))
+
+
+def odd_docs(spark):
+    """Nulls in every column, empty, blank, one-word and very long texts, repeated rows and ids, clashing column names."""
+    rng = random.Random(1)
+    long = words(rng, 30000)
+    texts = {0: None, 1: "", 2: "   \n\t ", 3: "one", 4: long, 5: long, 6: "12345 !!!", 7: "a b c d e", 8: "A b  C\td e", 9: "x\x00y ퟿    ﬁn", 10: "<|endoftext|> hi"}
+    rows = [(i, t, None, None, None, None, None, None) for i, t in texts.items()]
+    return spark.createDataFrame([*rows, rows[4], (3, "other text", "en", "s", 1, 0.5, "s", "c"), (None, "no id here", None, None, None, None, None, None)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def vocab_path():
+    return queries.vocabulary("word_bpe_49k.json")
+
+
+# packing
+
+def check_packing(rows, width=packing.WIDTH):
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append(r)
+    for parts in by.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= width
+    assert set(by) == set(range(len(by)))
+    return by
+
+
+def test_packing_is_a_partition_of_all_ids(spark, sf, vocab_path):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = packing.pack(docs, vocab_path, rank_rows=7).collect()
+    by = check_packing(rows)
+    tok = Tokenizer.from_file(vocab_path)
+    pieces_of = {}
+    for r in rows:
+        pieces_of.setdefault(r["doc_id"], []).append(r)
+    for d in docs.collect():
+        ids = np.asarray([*tok.encode(d["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        at = 0
+        for r in sorted(pieces_of[d["doc_id"]], key=lambda r: r["start"]):
+            assert r["start"] == at
+            assert r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at:at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    total = sum(r["length"] for r in rows)
+    assert len(by) <= 1.02 * total / packing.WIDTH + 1
+
+
+def test_packing_odd_input(spark, vocab_path):
+    docs = odd_docs(spark)
+    rows = packing.pack(docs, vocab_path).collect()
+    check_packing(rows)
+    assert {r["doc_tokens"] for r in rows if r["doc_id"] in (0, 1, 2)} == {1}
+    assert sum(r["start"] == 0 for r in rows) == docs.count()
+    assert packing.pack(docs.limit(0), vocab_path).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_patterns_hold_every_length_once(seed):
+    rng = random.Random(seed)
+    histogram = {rng.randint(1, 64): rng.randint(1, 50) for _ in range(20)}
+    patterns = packing.shortest_pack_first(histogram, 64)
+    got = {}
+    for count, lengths in patterns:
+        assert sum(lengths) <= 64
+        for x in lengths:
+            got[x] = got.get(x, 0) + count
+    assert got == histogram
+
+
+def test_words_encode_as_whole_texts(vocab_path):
+    memo = packing.WordIds(vocab_path)
+    texts = ["The Cat's àb Àb  ẛ̣ x y ΣΑΣ <|endoftext|> don't 12.5a, *** foo!?", "a,b .5 'S \x1c\x1dq naïve… “quoted” étÉ", "ﬁ Ⅷ ½ ٣ नमस्ते 你好,世界", "İstanbuĺ ́x", None, ""]
+    assert memo.encode_all(texts) == [memo.whole(t) if t else b"" for t in texts]
+
+
+# quality
+
+def quality_rows(rng, n):
+    out = []
+    for i in range(n):
+        good = rng.random() < 0.7
+        t = words(rng, rng.randint(5, 200))
+        if not good:
+            t = rng.choice([lambda: t.upper().replace(" ", "!! "), lambda: " ".join(w + "***" for w in t.split()), lambda: " ".join([t.split()[0]] * 60)])()
+        out.append((i, t, int(good)))
+    return out
+
+
+def test_quality_holds_out_of_sample(spark):
+    rows = quality_rows(random.Random(2), 700)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 5] * 2 + [(None, 1), (5, None)], "doc_id long, quality int")
+    model = quality_mil.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality_mil.score(docs, model).collect()}
+    held = [(got[i], y) for i, _, y in rows if i % 5 == 0]
+    assert sum((s >= 0.3) == bool(y) for s, y in held) >= 0.97 * len(held)
+
+
+def test_quality_gradient():
+    """The step's gradients are those of the loss."""
+    rng = np.random.default_rng(0)
+    m = quality_mil.Mil()
+    x = rng.standard_normal((7, quality_mil.N_FEATURES)).astype(np.float32)
+    owner, y = np.asarray([0, 0, 0, 1, 1, 2, 2]), np.asarray([1, 0, 1], dtype=np.float32)
+    loss = lambda: -np.mean([np.log(p if t else 1 - p) for p, t in zip(m.forward(x.astype(np.float64), owner, 3)["p"], y)])
+    m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
+    before = {k: v.copy() for k, v in m.w.items()}
+    state = {}
+    m.step(x, owner, y, state, 0.0, 0.0)
+    m.w = before
+    for k in before:
+        at = tuple(0 for _ in before[k].shape)
+        m.w[k][at] += 1e-5
+        up = loss()
+        m.w[k][at] -= 2e-5
+        down = loss()
+        m.w[k][at] += 1e-5
+        assert state["m" + k][at] / 0.1 == pytest.approx((up - down) / 2e-5, abs=1e-4)
+
+
+def test_quality_odd_input(spark):
+    docs = odd_docs(spark)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["score"] for r in quality_mil.score(docs, quality_mil.fit(docs, none)).collect()} == {0.5}
+    labels = spark.createDataFrame([(4, 1), (3, 0), (7, 1), (6, 0)], "doc_id long, quality int")
+    rows = quality_mil.score(docs, quality_mil.fit(docs, labels)).collect()
+    assert len(rows) == docs.count()
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+# language
+
+def test_language_code_lengths_are_the_definition():
+    """Against a dictionary version of the same model; and every context's distribution sums to one."""
+    samples = {"a": ["abracadabra", "abra cad"], "b": ["bcdbcd bcd", "éa"]}
+    m = language_ppm.Ppm(["a", "b"], samples, order=2)
+
+    def plain(lang, text):
+        seen = [{}, {}, {}]
+        for t in samples[lang]:
+            data = bytes(2) + t.lower().encode()
+            for i in range(2, len(data)):
+                for k in range(3):
+                    c = seen[k].setdefault(data[i - k:i], {})
+                    c[data[i]] = c.get(data[i], 0) + 1
+
+        def p(ctx, byte):
+            k = len(ctx)
+            below = (lambda b: p(ctx[1:], b)) if k else (lambda b: 2.0**-8)
+            c = seen[k].get(ctx)
+            if not c:
+                return below(byte)
+            n, q = sum(c.values()), len(c)
+            if byte in c:
+                return c[byte] / (n + q)
+            rest = max(1 - sum(below(b) for b in c), 1e-6)
+            return q / (n + q) * below(byte) / rest
+
+        data = bytes(2) + text.lower().encode()
+        return sum(-np.log2(p(data[i - 2:i], data[i])) for i in range(2, len(data)))
+
+    texts = ["abra", "bcd", "zzz é", "cadbcd!"]
+    got = m.bits(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx([plain("a", t), plain("b", t)], rel=1e-5)
+    for ctx in (b"ab", b"zz", b"\0\0"):
+        keys = np.asarray([int.from_bytes(ctx + bytes([b]), "big") for b in range(256)], dtype=np.uint32)
+        assert np.exp2(-m._cost(keys, 2)).sum(0) == pytest.approx([1, 1], abs=1e-4)
+
+
+def test_language_held_out_and_odd_input(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_ppm.fit(docs.where("doc_id % 4 <> 2").select("doc_id", "text", "lang"))
+    got = language_ppm.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id % 4 = 2").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.97 * len(got)
+    rows = language_ppm.identify(odd_docs(spark), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in rows if r["doc_id"] in (0, 1, 2, 6)} == dict.fromkeys((0, 1, 2, 6), "und")
+    nothing = language_ppm.fit(docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang")))
+    assert {r["lang_pred"] for r in language_ppm.identify(docs, nothing).collect()} == {"und"}
+    assert language_ppm.identify(docs.limit(0), model).count() == 0
+
+
+# near duplicates
+
+def near_docs(rng, groups=12, size=8):
+    docs, k = [], 0
+    for _ in range(groups):
+        base = words(rng, rng.randint(20, 120), high=5000).split()
+        for _ in range(rng.randint(1, size)):
+            copy = list(base)
+            for _ in range(rng.randint(0, len(base) // 25)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 999)}"
+            docs.append((k, " ".join(copy)))
+            k += 1
+    shared = words(rng, 30, high=5000)
+    docs += [(k + i, shared + " " + words(rng, 60, high=5000)) for i in range(20)]
+    return docs
+
+
+@pytest.mark.parametrize("small", [1, 128])
+def test_near_duplicates_are_the_brute_force_ones(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash_trees, "SMALL", small)
+    monkeypatch.setattr(minhash_trees, "CHUNK", 3)
+    docs = near_docs(random.Random(4))
+    want, sizes = brute_components(docs)
+    got = minhash_trees.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_duplicates_odd_input(spark):
+    rows = minhash_trees.near_duplicates(odd_docs(spark)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert None not in by
+    assert all(r["n_shingles"] == 0 and r["kept"] for i in (0, 1, 2) for r in by[i])
+    assert {r["component_id"] for i in (4, 5) for r in by[i]} == {4}
+    assert len(by[4]) == 2
+    assert {r["component_id"] for i in (7, 8) for r in by[i]} == {7}
+    assert minhash_trees.near_duplicates(odd_docs(spark).limit(0)).count() == 0
+
+
+def test_shingles():
+    assert len(shingle_set("a b c d e f")) == 2
+    assert len(shingle_set("A b\x0bc")) == 1
+    assert (shingle_set("A b C d E") == shingle_set("a  b\tc\nd\x0ce")).all()
+    assert len(shingle_set("a b")) == 1
+    assert not (shingle_set("É") == shingle_set("é")).all()
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(200):
+        for u, v in edges:
+            if u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    assert got == label
+    assert graph.components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
+
+
+# vectors
+
+def vectors(spark, rng, n=300, width=16):
+    base = rng.standard_normal((n // 3, width))
+    x = np.concatenate([base, base + 0.05 * rng.standard_normal(base.shape), base + 0.25 * rng.standard_normal(base.shape)]).astype(np.float32)
+    x[5] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    bad = [(9000, None), (9001, [0.0] * width), (9002, [float("nan")] * width), (9003, [None] + [1.0] * (width - 1)), (9004, []), (9005, [float("inf")] * width), (9006, [1.0, 2.0]), (9007, [2.0, 4.0])]
+    return spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>"), x
+
+
+@pytest.mark.parametrize("tile", [40, 4096])
+def test_vector_links_are_the_brute_force_ones(spark, monkeypatch, tile):
+    monkeypatch.setattr(vector_dedup, "TILE", tile)
+    df, x = vectors(spark, np.random.default_rng(7))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = vector_dedup.forest(*np.nonzero(near), len(u))
+    got = {r["vec_id"]: r for r in vector_dedup.near_vectors(df).collect()}
+    assert [got[i]["n_links"] for i in range(len(u))] == near.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(u))] == label.tolist()
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (9000, 9001, 9002, 9003, 9004, 9005))
+    assert got[9007]["component_id"] == 9006
+    assert vector_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_search_recall_and_order(spark):
+    df, x = vectors(spark, np.random.default_rng(8), n=900)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    rows = hash_search.search(df, every=7, enough=60).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["query_id"], []).append(r)
+    hit = total = 0
+    for q in range(0, len(u), 7):
+        score = u @ u[q]
+        want = sorted((i for i in range(len(u)) if i != q), key=lambda i: (-score[i], i))[:5]
+        got = sorted(by[q], key=lambda r: r["rank"])
+        assert [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+        assert all(a["score"] > b["score"] or (a["score"] == b["score"] and a["vec_id"] < b["vec_id"]) for a, b in zip(got, got[1:]))
+        assert all(r["score"] == pytest.approx(score[r["vec_id"]], abs=1e-12) for r in got)
+        hit, total = hit + len(set(want) & {r["vec_id"] for r in got}), total + 5
+    assert hit >= 0.9 * total
+    assert hash_search.search(df.limit(0)).count() == 0
+
+
+def test_search_ties_go_to_smaller_ids(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.5]) for i in range(100)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in hash_search.search(df).collect()}
+    assert [got[0, k] for k in range(1, 6)] == [1, 2, 3, 4, 5]
+    assert [got[50, k] for k in range(1, 6)] == [0, 1, 2, 3, 4]
+
+
+def test_probing_keeps_the_pigeonhole_promise():
+    rng = np.random.default_rng(9)
+    code = rng.integers(0, 256, (500, 8), dtype=np.uint8)
+    shard = hash_search.Shard(code)
+    for q in code[:20]:
+        far = np.bitwise_count(code ^ q).sum(1)
+        at = shard.within(q, 30)
+        radius = far[at].max()
+        assert set(np.flatnonzero(far <= radius)) == set(at.tolist())
+        assert len(at) >= 30
+
+
+# SentencePiece
+
+def proto(pieces_, kind, byte_fallback=True, dummy=True, one_space=False):
+    def varint(n):
+        out = b""
+        while True:
+            out += bytes([n & 127 | (128 if n > 127 else 0)])
+            n >>= 7
+            if not n:
+                return out
+
+    def block(number, data):
+        return varint(number << 3 | 2) + varint(len(data)) + data
+
+    def flag(number, n):
+        return varint(number << 3) + varint(n)
+
+    body = b"".join(block(1, block(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + flag(3, t)) for p, s, t in pieces_)
+    return body + block(2, flag(3, kind) + flag(35, int(byte_fallback))) + block(3, block(1, b"identity") + flag(3, int(dummy)) + flag(4, int(one_space)) + flag(5, 1))
+
+
+BASE = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+
+
+@pytest.mark.parametrize(("kind", "dummy", "one_space"), [(1, True, True), (1, False, False), (2, True, False), (2, True, True)])
+def test_sentencepiece_parity(tmp_path, kind, dummy, one_space):
+    """Hand-written models of both kinds: ids and texts are those of the sentencepiece library."""
+    import sentencepiece
+
+    own = ["▁", "a", "b", "c", "e", "h", "t", "▁a", "▁t", "ab", "th", "▁th", "he", "▁the", "abc", "▁ab"]
+    path = tmp_path / "m.model"
+    path.write_bytes(proto(BASE + [(p, -float(len(own) - len(p) * 2) if kind == 1 else -float(i), 1) for i, p in enumerate(sorted(own, key=len, reverse=True))], kind, True, dummy, one_space))
+    bridge, sp = pieces.Bridge(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    rng = random.Random(kind)
+    texts = ["", " ", "  the  abc ", "the\nabc", "héllo 🙂", "▁x"] + ["".join(rng.choice("abceht  \nz") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    got = bridge.encode_all([*texts, None])
+    for t, (data, parity) in zip(texts, got):
+        ids = np.frombuffer(data, dtype="<u4").tolist()
+        assert ids == sp.encode(t), t
+        assert parity
+        assert bridge.decode(ids) == sp.decode(ids)
+    assert got[-1] == (b"", True)
+    with pytest.raises(ValueError, match="outside"):
+        bridge.decode([10**6])
+
+
+def test_sentencepiece_public_model_and_odd_input(spark):
+    import sentencepiece
+
+    path = queries.vocabulary("piece_bpe_32k.model")
+    docs = odd_docs(spark)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoded = pieces.encode(docs, path)
+    texts = [t for t in docs.select("text").toPandas()["text"]]
+    got = [r["ids"] for r in encoded.collect()]
+    assert sorted(map(len, got)) == sorted(len(sp.encode(t)) if isinstance(t, str) else 0 for t in texts)
+    back = pieces.decode(encoded, path).collect()
+    assert sorted(r["text"] for r in back) == sorted(t if isinstance(t, str) else "" for t in texts)
+    assert all(r["parity"] and r["restored"] for r in pieces.round_trip(docs, path).collect())
+
+
+# pseudonyms
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
+def test_permutation_is_one(size):
+    p = feistel.Permutation(b"key", "x", size)
+    assert sorted(map(p, range(size))) == list(range(size))
+    assert all(p(p(i), True) == i for i in range(size))
+
+
+CASES = ["4111 1111 1111 1111", "4111111111111111", "DE89 3704 0044 0532 0130 00", "078-05-1120", "2024-02-29", "31.12.1999", "12/31/1999", "+41 44 668 18 00", "+1 (168) 555-5254", "97.51.17.173", "Ab.34@Mail7.example.com"]
+
+
+@pytest.mark.parametrize("value", CASES)
+def test_pseudonyms_keep_the_format_and_return(value):
+    p = feistel.Pseudonyms(b"key")
+    text = f"before {value} after"
+    found = feistel.find(text, p)
+    assert len(found) == 1
+    a, b, _, new = found[0]
+    assert text[a:b] == value
+    assert new != value
+    assert len(new) == len(value) or "." in value
+    again = feistel.find(feistel.rewrite(text, found), p, back=True)
+    assert feistel.rewrite(feistel.rewrite(text, found), again) == text
+    assert feistel.find("elsewhere: " + value, p)[0][3] == new
+
+
+@pytest.mark.parametrize("value", ["4111 1111 1111 1112", "1111111111111111", "999-00-1234", "2023-02-29", "300.1.1.1", "1.2.3", "version 10.2.3.4.5", "no mail @ all", "12345"])
+def test_what_does_not_validate_stays(value):
+    assert feistel.find(value, feistel.Pseudonyms(b"key")) == []
+
+
+def test_pseudonyms_odd_input(spark):
+    docs = odd_docs(spark)
+    out = feistel.pseudonymise(docs, b"k").collect()
+    assert sorted(str(r["text"]) for r in out) == sorted(str(r["text"]) for r in docs.collect())
+    assert all(r["finds"] == [] for r in out)
+
+
+# secrets
+
+def test_secrets_held_out_and_odd_input(spark):
+    forest = secret_forest.train(secret_forest.labelled_findings())
+    held = secret_forest.labelled_findings(600, seed=77)
+    score = forest.score(np.asarray([secret_forest.features(t, a, b) for t, a, b, _ in held]))
+    y = np.asarray([r[3] for r in held])
+    assert ((score >= 0.5) == y).mean() >= 0.97
+    key = "ab12" * 10
+    docs = spark.createDataFrame([(1, f'token = "{key}" and 4111111111111111 at host mail3.example.com'), (2, None), (3, "")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in secret_forest.scan(docs, forest).collect()}
+    assert rows[1]["text"] == 'token = "<secret>" and 4111111111111111 at host mail3.example.com'
+    assert [f["value"] for f in rows[1]["findings"] if f["secret"]] == [key]
+    assert rows[2]["text"] is None
+    assert rows[3]["findings"] == []
+    assert secret_forest.scan(odd_docs(spark), forest).count() == odd_docs(spark).count()
+    assert secret_forest.scan(docs, secret_forest.train([])).where("exists(findings, f -> f.secret)").count() == 0
+
+
+# toxicity
+
+def test_toxicity_held_out_and_ordered(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(900):
+        k = rng.choice([0, 0, 0, 1, 4, 9])
+        t = words(rng, 40).split() + [rng.choice(["grumbly", "vexing", "snarl"]) + rng.choice(["", "s", "ed"]) for _ in range(k)]
+        rng.shuffle(t)
+        rows.append((i, " ".join(t), k))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k > 0)) for i, _, k in rows if i % 5] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    model = toxicity_ordinal.fit(docs, labels)
+    assert (np.diff(model.theta) >= 0).all()
+    got = {r["doc_id"]: r for r in toxicity_ordinal.severity(docs, model).collect()}
+    held = [(got[i], k) for i, _, k in rows if i % 5 == 0]
+    assert sum((r["p_toxic"] >= queries.TOXIC_AT) == (k > 0) for r, k in held) >= 0.97 * len(held)
+    mean = lambda k: np.mean([r["expected_severity"] for r, x in held if x == k])
+    assert mean(0) < mean(1) < mean(4) < mean(9)
+    assert all(r["expected_severity"] < 0.1 for r in toxicity_ordinal.severity(odd_docs(spark), model).collect())
+    nothing = toxicity_ordinal.fit(docs, labels.limit(0))
+    assert {r["expected_severity"] for r in toxicity_ordinal.severity(docs, nothing).collect()} == {0.0}
+
+
+# shared
+
+def test_groups_stream_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(500).select((F.col("id") % 37).alias("g"), "id")
+        run = lambda starts, g, id: {"g": [g[int(s)].as_py() for s in starts], "n": np.diff([*starts, len(g)])}  # noqa: A002, E731
+        got = {r["g"]: r["n"] for r in batches.stream_groups(df, ["g"], "g long, n long", run).collect()}
+        assert got == {g: len(range(g, 500, 37)) for g in range(37)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
