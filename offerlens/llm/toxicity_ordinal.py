@@ -29,7 +29,7 @@ from .sampling import bounded
 
 MAX_DOCS = 8000
 #: Texts a feature must occur in, standard errors by which it must raise the share with a grade, and the factor on its odds.
-MIN_TEXTS, MIN_Z, MIN_ODDS = 4, 4.0, 4.0
+MIN_TEXTS, MIN_Z, MIN_ODDS = 5, 5.5, 4.0
 #: Further occurrences of singled-out words that each raise a toxic text's grade by one.
 STEPS = (3, 6)
 MEMO_WORDS = 200_000
@@ -72,7 +72,7 @@ class Ordinal:
     def features(self, text: str | None) -> set[int]:
         return set().union(*map(self._of, set(words(text))))
 
-    def fit(self, texts: list[str | None], grade: np.ndarray, rounds: int = 400, rate: float = 1.0, l1: float = 1e-5) -> Ordinal:
+    def fit(self, texts: list[str | None], grade: np.ndarray, rounds: int = 400, rate: float = 1.0, l1: float = 2e-4) -> Ordinal:
         grade = np.asarray(grade, dtype=np.int64)
         levels = int(grade.max(initial=0))
         if not len(texts) or levels == 0 or grade.min() > 0:
