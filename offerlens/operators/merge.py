@@ -72,13 +72,16 @@ def spread(prices: Column) -> Column:
 
 
 def item_prices(offers: DataFrame, item: str, seller: str) -> DataFrame:
-    """The relational form of the same: best price, its seller, sellers and spread per item."""
-    w = Window.partitionBy(item, seller).orderBy(*better_first())
-    best = offers.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    sure = F.when(F.col("confidence") != "low", F.col("price"))
+    """The relational form of the same: best price, its seller, sellers, spread and offers per item.
+
+    Both steps are aggregates, so offers are reduced per seller before they are shuffled and nothing is sorted.
+    """
+    rank = F.struct(-confidence_rank(F.col("confidence")), F.coalesce(F.nullif(F.col("price"), F.lit(0.0)), F.lit(9e9)))
+    best = offers.groupBy(item, seller).agg(F.min_by(F.struct("price", "confidence"), rank).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    sure = F.when(F.col("_b.confidence") != "low", F.col("_b.price"))
     return best.groupBy(item).agg(
         F.min(sure).alias("best_price"), F.min_by(F.when(sure.isNotNull(), F.col(seller)), F.struct(sure.isNull(), sure, F.col(seller))).alias("cheapest_seller"),
-        F.count(F.lit(1)).alias("sellers"), F.when(F.count(sure) >= 2, F.round(F.max(sure) - F.min(sure), 2)).alias("spread"))
+        F.count(F.lit(1)).alias("sellers"), F.when(F.count(sure) >= 2, F.round(F.max(sure) - F.min(sure), 2)).alias("spread"), F.sum("_n").alias("offers"))
 
 
 def critic_max(critics: DataFrame, item: str = "item") -> DataFrame:
