@@ -6,7 +6,7 @@ regular expressions; nothing here leaves the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .bind import let
 
@@ -107,27 +107,41 @@ def normalize_price(
     The price is per ``REFERENCE_ML`` including tax. The tax status is the given
     one, else what the text says (excluded before included), else the default.
     """
-    told = lambda t: F.when(t.rlike(EXCL_VAT), False).when(t.rlike(INCL_VAT), True).otherwise(F.lit(default_vat_included))
-    status = lambda t: F.coalesce(vat_included, told(t)) if vat_included is not None else told(t)
-
-    def price(t: Column, pack: Column) -> Column:
-        units, ml = pack["units"], pack["bottle_ml"]
-        if price_basis == "auto":
-            per = F.when(t.rlike(PER_BOTTLE), 1).when(units > 1, units).otherwise(1)
-        elif price_basis == "pack":
-            per = F.coalesce(units, F.lit(1))
-        else:
-            per = F.lit(1)
-        certain = pack["certain"] & (units.isNotNull() if price_basis == "pack" else F.lit(True))
-        known = amount.isNotNull()
-        confidence = F.when(~known | ~certain, "low").when((ml == REFERENCE_ML) & ~pack["assumed"], "high").otherwise("medium")
-        parts = F.struct(F.when(per == 0, 1).otherwise(per).alias("per"), status(t).alias("included"))
-        return let(parts, lambda x: F.struct(
-            F.when(known, cents(amount / x["per"] * (F.lit(float(REFERENCE_ML)) / F.coalesce(ml, F.lit(REFERENCE_ML))) * F.when(x["included"], 1.0).otherwise(1 + VAT))).alias("price"),
-            amount.alias("raw"), confidence.alias("confidence"), F.when(known, ml).alias("bottle_ml"), F.when(known, units).alias("units"),
-            (known & ~x["included"]).alias("vat_added"), F.when(known, x["per"] > 1).alias("raw_is_pack")))
-
-    return let(F.coalesce(text, F.lit("")), lambda t: let(parse_pack(t), lambda pack: price(t, pack)))
+    options = (vat_included, price_basis, default_vat_included)
+    return let(F.coalesce(text, F.lit("")), lambda t: let(parse_pack(t), lambda pack: let(_terms(t, pack, *options), lambda x: _price(amount, pack, x))))
+
+
+def with_normalized_price(rows: DataFrame, amount: str, text: Column, out: str, vat_included: Column | None = None, price_basis: str = "auto", default_vat_included: bool = True) -> DataFrame:
+    """The same as a column of ``rows``, in steps that generated code runs: the choice for large tables."""
+    t, parts, q, pack, x = (F.col(f"_{out}{i}") for i in range(5))
+    steps = [F.coalesce(text, F.lit("")), _pack_parts(F.regexp_replace(t, UNIT_PRICE, " ")), _pack_ml(F.regexp_replace(t, UNIT_PRICE, " "), parts), _pack(t, q), _terms(t, pack, vat_included, price_basis, default_vat_included)]
+    for i, step in enumerate(steps):
+        rows = rows.withColumn(f"_{out}{i}", step)
+    return rows.withColumn(out, _price(F.col(amount), pack, x)).drop(*(f"_{out}{i}" for i in range(5)))
+
+
+def _terms(t: Column, pack: Column, vat_included: Column | None, price_basis: str, default_vat_included: bool) -> Column:
+    """``struct(per, included, certain)``: bottles that the amount pays for, whether tax is in it, and whether that is sure."""
+    told = F.when(t.rlike(EXCL_VAT), False).when(t.rlike(INCL_VAT), True).otherwise(F.lit(default_vat_included))
+    units = pack["units"]
+    if price_basis == "auto":
+        per = F.when(units > 1, F.when(t.rlike(PER_BOTTLE), 1).otherwise(units)).otherwise(1)
+    elif price_basis == "pack":
+        per = F.coalesce(units, F.lit(1))
+    else:
+        per = F.lit(1)
+    certain = pack["certain"] & (units.isNotNull() if price_basis == "pack" else F.lit(True))
+    return F.struct(F.when(per == 0, 1).otherwise(per).alias("per"), (F.coalesce(vat_included, told) if vat_included is not None else told).alias("included"), certain.alias("certain"))
+
+
+def _price(amount: Column, pack: Column, x: Column) -> Column:
+    ml, known = pack["bottle_ml"], amount.isNotNull()
+    confidence = F.when(~known | ~x["certain"], "low").when((ml == REFERENCE_ML) & ~pack["assumed"], "high").otherwise("medium")
+    each = amount / x["per"] * (F.lit(float(REFERENCE_ML)) / F.coalesce(ml, F.lit(REFERENCE_ML)))
+    return F.struct(
+        F.when(known, cents(each * F.when(x["included"], 1.0).otherwise(1 + VAT))).alias("price"),
+        amount.alias("raw"), confidence.alias("confidence"), F.when(known, ml).alias("bottle_ml"), F.when(known, pack["units"]).alias("units"),
+        (known & ~x["included"]).alias("vat_added"), F.when(known, x["per"] > 1).alias("raw_is_pack"))
 
 
 def describe_basis(units: Column, ml: Column, vat_included: Column) -> Column:

@@ -120,7 +120,7 @@ SELECT a, b, round(p / CASE b WHEN 2 THEN 6 WHEN 6 THEN 12 ELSE 1 END * (750.0::
   CASE WHEN b IN (1, 2) THEN 'high' WHEN b = 3 THEN 'low' ELSE 'medium' END AS confidence FROM o""")
 def price_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     basis = F.create_map(*(F.lit(x) for kv in _BASIS.items() for x in kv))[F.col("l_linenumber")]
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", P.normalize_price(F.col("l_extendedprice"), basis).alias("p"))
+    rows = P.with_normalized_price(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", basis, "p")
     return rows.select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("p.price").alias("price"), F.col("p.confidence").alias("confidence"))
 
 

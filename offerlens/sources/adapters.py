@@ -44,8 +44,7 @@ def make_offers(raw: DataFrame, shop: Shop) -> DataFrame:
     """
     raw = raw.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in raw.columns})
     basis = F.concat_ws(" ", "name", "basis_text")
-    p = P.normalize_price(F.col("amount"), basis, F.col("vat"), shop.price_basis, shop.vat_included)
-    rows = raw.where(F.coalesce(F.trim("name"), F.lit("")) != "").withColumn("p", p)
+    rows = P.with_normalized_price(raw.where(F.coalesce(F.trim("name"), F.lit("")) != ""), "amount", basis, "p", F.col("vat"), shop.price_basis, shop.vat_included)
     if shop.allow or shop.deny:
         rows = rows.where(X.looks_like(F.col("name"), shop.allow, shop.deny))
     reference = P.cents(F.col("reference") * F.try_divide(F.col("p.price"), F.col("amount")))
