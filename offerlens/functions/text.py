@@ -234,3 +234,33 @@ def umlauts_to_vowels(text: Column) -> Column:
     for a, b in (("ae", "a"), ("oe", "o"), ("ue", "u")):
         t = F.replace(t, F.lit(a), F.lit(b))
     return t
+
+
+# Fixed values.
+COLOUR_WINE = r"(?:Rot|Weiss|Weiß|Ros[ée]|Schaum|Süss|Suess|Dessert)wein"
+USUAL_SIZE = r"(?:0[.,]75\s*l|75\s*cl)"
+NAME_NOISE = [
+    rf"(?iu)\s*[–—-]\s*{COLOUR_WINE}\s*,\s*[^,(]+?\s*\(\s*{USUAL_SIZE}\s*\)\s*$",
+    rf"(?iu)\s*[–—-]\s*{COLOUR_WINE}\s*,\s*[^,(]+?\s*$",
+    rf"(?iu)\s*[–—-]\s*{COLOUR_WINE}\s*(?=\(|$)",
+    rf"(?iu),?\s*\(?\s*{USUAL_SIZE}\s*\)?\s*$",
+    r"\s*\((?:19|20)\d{2}\)",
+]
+
+
+def display_name(name: Column) -> Column:
+    """A shop's name without colour, country, usual size and vintage, which stand beside it anyway."""
+    out = F.coalesce(name, F.lit(""))
+    for pattern in NAME_NOISE:
+        out = F.regexp_replace(out, pattern, "")
+    return F.regexp_replace(F.regexp_replace(out, r"\s{2,}", " "), r"^[ ,;–—-]+|[ ,;–—-]+$", "")
+
+
+def format_date(at: Column) -> Column:
+    return F.date_format(at, "d.M.yyyy")
+
+
+def rating_text(value: Column, scale: float, count: Column) -> Column:
+    """``3.6/5 (42)`` or ``89/100``; "" without a value."""
+    shown = F.concat(F.format_string("%.1f" if scale <= 5 else "%.0f", value), F.lit(f"/{scale:.0f}"))
+    return F.when(value.isNull(), "").when(F.coalesce(count, F.lit(0)) > 0, F.concat(shown, F.lit(" ("), count, F.lit(")"))).otherwise(shown)

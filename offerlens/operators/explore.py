@@ -101,3 +101,10 @@ def label_greedily(points: list[dict], reach: Callable[[dict], tuple[float, floa
         if len(out) == most:
             break
     return out
+
+
+def grape_flags(names: list[Column], grapes: dict[str, str]) -> Column:
+    """Keys of the patterns that stand as words in any of the names."""
+    hay = F.concat_ws(" ", *names)
+    edge = "a-zäöüéèàç"
+    return F.filter(F.array(*(F.when(hay.rlike(f"(?iu)(?<![{edge}]){p}(?![{edge}])"), F.lit(k)) for k, p in grapes.items())), lambda k: k.isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import any_word, fold
 
@@ -71,3 +71,13 @@ def nearest_column(glyphs: DataFrame, columns: DataFrame, tolerance: float = 7.0
     b = columns.select("page", "year", F.col("x").alias("cx"), F.explode(F.array(*(F.floor(F.col("x") / width) + k for k in (-1, 0, 1)))).alias("_bin"))
     near = a.join(b, ["page", "_bin"]).where(F.abs(F.col("x") - F.col("cx")) <= tolerance)
     return near.groupBy(*glyphs.columns).agg(F.min_by("year", F.struct(F.abs(F.col("x") - F.col("cx")), F.col("year"))).alias("year"))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """``region, wine_type, vintage, code, quality`` rows of a YAML table with ``entries``; years are keys."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        raw = (yaml.safe_load(f) or {}).get("entries") or []
+    rows = [(e.get("region") or "", e.get("wine_type") or "unbekannt", int(y), c, (e.get("quality") or {}).get(y)) for e in raw for y, c in (e.get("maturity") or {}).items()]
+    return spark.createDataFrame(rows, "region string, wine_type string, vintage int, code string, quality string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.prices import host
+
 SCHEMA = "key string, name string, enabled boolean, domain string, adapter string, price_basis string, vat_included boolean, urls array<string>, private_labels array<string>, kind string"
 
 
@@ -54,3 +56,17 @@ def completeness(offers: DataFrame, claimed: DataFrame) -> DataFrame:
     """Sources that say they have more than was read."""
     n = offers.groupBy("source").agg(F.count(F.lit(1)).alias("read"))
     return claimed.join(n, "source", "left").withColumn("read", F.coalesce("read", F.lit(0))).withColumn("gap", F.col("total") - F.col("read")).where("gap > 0")
+
+
+def own_hosts(prices: DataFrame, registry: DataFrame, item: str = "item") -> DataFrame:
+    """Hosts that sell an item: the registered domains of its sellers and the hosts of its offers' addresses."""
+    named = registry.select(F.col("key").alias("seller"), F.lower("domain").alias("domain"))
+    rows = prices.join(F.broadcast(named), "seller", "left")
+    hosts = F.explode(F.filter(F.array("domain", host(F.col("url"))), lambda h: h.isNotNull()))
+    return rows.select(item, hosts.alias("h")).groupBy(item).agg(F.array_sort(F.collect_set("h")).alias("hosts"))
+
+
+def display_info(rows: DataFrame, registry: DataFrame, key: str = "seller") -> DataFrame:
+    """Rows with their seller's name; unknown sellers keep their key."""
+    names = registry.select(F.col("key").alias(key), F.col("name").alias("_name"))
+    return rows.join(F.broadcast(names), key, "left").withColumn("seller_name", F.coalesce("_name", key)).drop("_name")

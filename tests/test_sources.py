@@ -110,3 +110,17 @@ def test_stream(spark, tmp_path):
     stream = ingest.without_repeats(ingest.read_offers(spark, str(tmp_path / "in"), rows.schema), ["item"])
     ingest.write(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     assert sorted(r["item"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["i", "j"]
+
+
+def test_hosts_grapes_and_maturity_file(spark, tmp_path):
+    from offerlens.operators import explore, maturity
+
+    (tmp_path / "r.yaml").write_text("retailers:\n  a: {name: A, domain: A.ch}\n")
+    reg = registry.load(spark, str(tmp_path / "r.yaml"))
+    prices = spark.createDataFrame([(1, "a", "https://www.b.ch/x"), (1, "z", None)], "item int, seller string, url string")
+    assert registry.own_hosts(prices, reg).first()["hosts"] == ["a.ch", "b.ch"]
+    assert {r["seller_name"] for r in registry.display_info(prices, reg).collect()} == {"A", "z"}
+    (tmp_path / "m.yaml").write_text("entries:\n- region: Wallis\n  wine_type: rot\n  maturity: {'2020': k, '2019': '*'}\n  quality: {'2020': 4}\n")
+    assert sorted((r["vintage"], r["code"]) for r in maturity.load(spark, str(tmp_path / "m.yaml")).collect()) == [(2019, "*"), (2020, "k")]
+    df = spark.createDataFrame([("Santi Nobile", "Appassimento Primitivo"), ("Primitivos", None)], "a string, b string")
+    assert [r[0] for r in df.select(explore.grape_flags([F.col("a"), F.col("b")], {"p": "primitivo"})).collect()] == [["p"], []]

@@ -74,3 +74,13 @@ def test_similarity_against_the_definition(a, b):
 def test_subset_scores_full():
     assert S.set_ratio("imperial rioja", "cune imperial rioja reserva") == 100.0
     assert S.set_ratio("", "a") == 0.0
+
+
+@pytest.mark.parametrize(("name", "shown"), [("Rioja DOCa Crianza Bodegas Izadi (2022) – Rotwein, Spanien (0.75l)", "Rioja DOCa Crianza Bodegas Izadi"), ("Chianti 75 cl", "Chianti"), ("Barolo Magnum", "Barolo Magnum"), (None, "")])
+def test_display_name(spark, name, shown):
+    assert col(spark, name, X.display_name) == shown
+
+
+def test_small_formats(spark):
+    got = spark.sql("SELECT date'2026-08-05' AS d, 3.61D AS v, 42 AS n").select(X.format_date(F.col("d")), X.rating_text(F.col("v"), 5, F.col("n")), X.rating_text(F.lit(89.0), 100, F.lit(None).cast("int")), X.truncate(F.lit("abcdef"), 4), X.format_chf(F.lit(1250.0))).first()
+    assert tuple(got) == ("5.8.2026", "3.6/5 (42)", "89/100", "abc…", "CHF 1'250.00")
