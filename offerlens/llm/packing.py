@@ -25,7 +25,7 @@ from .scratch import Scratch
 
 WIDTH, END_ID = 4096, 2
 #: Distinct words a worker remembers before it starts anew; words encoded in one call.
-MEMO_WORDS, TOGETHER = 700_000, 20_000
+MEMO_WORDS, TOGETHER = 500_000, 10_000
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -45,8 +45,7 @@ class WordIds(dict):
 
         super().__init__()
         self.tok = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
-        self.ends[[i for w, i in self.tok.get_vocab().items() if w.endswith("</w>")]] = True
+        self.ends = np.asarray([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(self.tok.get_vocab_size())])
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

@@ -26,6 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of an Arrow batch while a table is written: with texts of some kilobytes, a few megabytes on either side of the pipe.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """Names and writes the intermediate tables of one operator call."""
 
@@ -38,7 +43,12 @@ class Scratch:
         """Write ``df`` and return a reader of what was written."""
         self.count += 1
         path = f"{self.root}/t{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
