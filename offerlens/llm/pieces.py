@@ -15,6 +15,7 @@ ids outside the vocabulary raise; repeated rows are encoded each.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -29,7 +30,9 @@ from .batches import held, map_columns
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO_CHUNKS, TOGETHER = 600_000, 20_000
+MEMO_CHUNKS, TOGETHER = 1_000_000, 20_000
+#: Threads of a worker's batches; more than an executor has cores for each task only wait for one another.
+THREADS = 2
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int, int | bytes]]:
@@ -123,6 +126,7 @@ class Bridge:
     """A model file as a tokenizers pipeline, with a memory of chunks."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the library first runs a batch
         import sentencepiece
         from tokenizers import Tokenizer, decoders, models, normalizers, pre_tokenizers
 
