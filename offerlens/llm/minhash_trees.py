@@ -1,12 +1,15 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Documents whose shingle sets are equal become one class first. Every class has a
-signature of ``POSITIONS`` minwise tokens. In each of ``TREES`` independent
+signature of ``POSITIONS`` minwise tokens. In each of at least ``TREES`` independent
 trees a node picks a position (and with probability ``1/0.75 - 1`` a second one),
 and its documents branch by their token there: on average a pair at the
-threshold keeps one common child per level, so recall does not decay with depth
-as it would with one branch. Nodes in which no more than ``SMALL`` pairs per
-member are of different components are compared exhaustively; others branch again.
+threshold keeps one common child per level, so a tree loses it slowly, but more
+surely with each level. Nodes in which no more than ``SMALL`` pairs per member are
+of different components are compared exhaustively; others branch again. Documents
+in nodes that are still crowded at depth ``SHALLOW`` go through more trees, as
+many as ``trees_for`` asks at the depth reached, so that a pair at the threshold
+is lost with a probability of at most 0.008 at every depth.
 
 A group of m near copies never separates in a tree, so first, in nodes of a fixed
 depth, all members are compared with the node's first member only. Trees then
@@ -23,6 +26,8 @@ texts count as one document; an empty table gives no rows; null ids are left out
 from __future__ import annotations
 
 import hashlib
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,8 @@ LEADER_DEPTH, LEADER_NODES = 4, 16
 #: Positions that must agree before sets are compared: four standard errors under what similarity 0.75 gives.
 AGREE = 77
 MAX_DEPTH = 30
+#: Depth to which ``TREES`` are enough, and the share of pairs of similarity 0.75 that all trees may lose.
+SHALLOW, MISS = 5, 0.004
 #: Smallest hashes of a set kept beside the signature. A set of no more is there whole, so its similarities are exact;
 #: for others the estimate may fall short of 0.75 by four standard errors.
 LOWEST, EXACT_AT, GUESS_AT = 256, 0.749, 0.64
@@ -200,22 +207,50 @@ def settle(rows: DataFrame) -> DataFrame:
     return rows.join(nodes, "node").withColumn("slices", slices.cast("long")).select("node", "id", "comp", "done", F.explode(part).alias("part"))
 
 
+def lost(depth: int, agree: float) -> float:
+    """Probability that one tree separates a pair that agrees in this share of positions within so many levels."""
+    q = 0.0
+    for _ in range(depth):
+        s = 1 - agree + agree * q
+        q = (2 * s + s * s) / 3
+    return q
+
+
+@cache
+def trees_for(depth: int) -> int:
+    """Trees that together lose no more than ``MISS`` of the pairs of similarity 0.75, over all signatures these may have."""
+    each = [(comb(POSITIONS, k) * 0.75**k * 0.25 ** (POSITIONS - k), lost(depth, k / POSITIONS)) for k in range(AGREE, POSITIONS + 1)]
+    trees = TREES
+    while sum(share * q**trees for share, q in each) > MISS:
+        trees += 1
+    return trees
+
+
 def tree_pairs(reps: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidate pairs of different components from all trees."""
     start = scratch.save(reps.join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "sig", "low"))
     sig = start.select("id", "sig")
-    rows = branch(start.withColumn("node", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long")))))
-    found = None
-    for depth in range(1, MAX_DEPTH + 1):
-        rows = scratch.save(rows)
-        live = scratch.save(settle(rows))
-        scratch.drop(rows)
-        now, later = (live, live.limit(0)) if depth == MAX_DEPTH else (live.where("done"), live.where("not done"))
-        got = scratch.save(node_pairs(now.join(start.select("id", "sig", "low"), "id").select("node", "part", "id", "comp", "sig", "low")))
-        found = got if found is None else found.unionByName(got)
-        if depth == MAX_DEPTH or later.isEmpty():
-            break
-        rows = branch(later.join(sig, "id").select("node", "id", "comp", "sig"))
+    found, deep, grown, wanted = None, None, 0, TREES
+    while grown < wanted:
+        roots = F.explode(F.sequence(F.lit(grown + 1).cast("long"), F.lit(wanted).cast("long")))
+        rows = branch((start if deep is None else start.join(deep, "id", "left_semi")).withColumn("node", roots))
+        grown, crowded = wanted, None
+        for depth in range(1, MAX_DEPTH + 1):
+            rows = scratch.save(rows)
+            live = scratch.save(settle(rows))
+            scratch.drop(rows)
+            now, later = (live, live.limit(0)) if depth == MAX_DEPTH else (live.where("done"), live.where("not done"))
+            got = scratch.save(node_pairs(now.join(start.select("id", "sig", "low"), "id").select("node", "part", "id", "comp", "sig", "low")))
+            found = got if found is None else found.unionByName(got)
+            if depth == MAX_DEPTH or later.isEmpty():
+                break
+            if depth == SHALLOW:
+                crowded = later.select("id").distinct()
+            rows = branch(later.join(sig, "id").select("node", "id", "comp", "sig"))
+        if depth > SHALLOW:
+            # a pair that is lost below SHALLOW was in one of these nodes until then
+            deep = scratch.save(crowded) if deep is None else deep
+            wanted = max(wanted, trees_for(depth))
     return found.distinct()
 
 
