@@ -18,7 +18,7 @@ import datetime
 import hashlib
 import ipaddress
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
 
@@ -189,6 +189,68 @@ KINDS: list[tuple[str, re.Pattern[str]]] = [
     ("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w.+-])\(\d{3}\) ?\d{3}-\d{4}(?![\w-])|(?<![\w.+-])\d{3}-\d{3}-\d{4}(?![\w-])")),
 ]
 _ANY = re.compile(r"[@\d]")
+#: Digits that may hold a card, and the heads of IBANs.
+_RUN = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,}")
+_HEAD = re.compile(r"(?<!\w)[A-Z]{2}\d{2}")
+#: Characters of an IBAN by country (ISO 13616).
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 "
+    "HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 "
+    "RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
+
+
+def _cards(text: str, at: int) -> Iterator[tuple[int, int]]:
+    """Places from ``at`` on where a card may stand, by start, the longest first: 13 to 19 digits in whole groups."""
+    for run in _RUN.finditer(text, at):
+        digits = [i for i in range(run.start(), run.end()) if text[i] not in " -"]
+        for k, a in enumerate(digits):
+            if a > run.start() and text[a - 1] not in " -" or a == run.start() and a > 0 and re.match(r"[\w.+-]", text[a - 1]):
+                continue
+            for n in range(min(19, len(digits) - k), 12, -1):
+                b = digits[k + n - 1] + 1
+                if b < run.end() and text[b] in " -" or b == run.end() and not re.match(r"[\w-]", text[b:b + 1]):
+                    yield a, b
+
+
+def _ibans(text: str, at: int) -> Iterator[tuple[int, int]]:
+    """Places from ``at`` on where an IBAN may stand: its country's length, what the pattern takes, other lengths of unknown countries."""
+    pattern = dict(KINDS)["iban"]
+    for head in _HEAD.finditer(text, at):
+        ends, n, i = {}, 4, head.end()
+        while n < 34 and i < len(text):
+            i += text[i] == " " and n % 4 == 0
+            if not re.match(r"[A-Z0-9]", text[i:i + 1]):
+                break
+            n, i = n + 1, i + 1
+            if n >= 15 and not re.match(r"\w", text[i:i + 1]):
+                ends[n] = i
+        known = IBAN_LENGTHS.get(head[0][:2])
+        m = pattern.match(text, head.start())
+        tries = [ends.get(known), m and m.end(), *(sorted(ends.values(), reverse=True) if known is None else ())]
+        yield from ((head.start(), b) for b in dict.fromkeys(tries) if b)
+
+
+_PLACES: dict[str, Callable[[str, int], Iterator[tuple[int, int]]]] = {"card": _cards, "iban": _ibans}
+
+
+def _inside(text: str, kind: str, rewrite: Callable[[str, bool], str | None], back: bool) -> list[tuple[int, int, str, str]]:
+    """Finds of a kind whose values may stand beside other digits or capitals: the first place that validates, then on behind it.
+
+    A pseudonym must be found at the same place again, so others are walked over; the value itself is on that cycle.
+    """
+    valid = lambda t: rewrite(t, False) is not None
+    first = lambda t, at: next((s for s in _PLACES[kind](t, at) if valid(t[s[0]:s[1]])), None)
+    out, at = [], 0
+    while (span := first(text, at)) is not None:
+        a, b = span
+        low, high = max(at, a - 64), b + 64
+        near, rest = text[low:a], text[b:high]
+        new = rewrite(text[a:b], back)
+        while new is not None and new != text[a:b] and first(near + new + rest, 0) != first(near + text[a:b] + rest, 0):
+            new = rewrite(new, back)
+        out.append((a, b, kind, new))
+        at = b
+    return out
 
 
 def find(text: str | None, pseudonyms: Pseudonyms, back: bool = False) -> list[tuple[int, int, str, str]]:
@@ -197,10 +259,17 @@ def find(text: str | None, pseudonyms: Pseudonyms, back: bool = False) -> list[t
         return []
     found = []
     digit = re.search(r"\d", text) is not None
-    for kind, pattern in KINDS:
+    for kind, pattern in sorted(KINDS, key=lambda k: k[0] == "card"):
         if "@" not in text if kind == "email" else not digit:
             continue
         rewrite: Callable[[str, bool], str | None] = getattr(pseudonyms, kind)
+        if kind in _PLACES:
+            clear = text
+            if kind == "card":  # what is a value of another fixed format is no part of a card
+                for a, b, other, _ in found:
+                    clear = clear[:a] + "." * (b - a) + clear[b:] if other in ("iban", "address", "ssn", "date") else clear
+            found += _inside(clear, kind, rewrite, back)
+            continue
         for m in pattern.finditer(text):
             new = rewrite(m[0], back)
             if new is not None:

@@ -512,3 +512,17 @@ def test_groups_stream_across_batches(spark):
         assert got == {g: len(range(g, 500, 37)) for g in range(37)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("text, kind, value", [
+    ("pay 4111 1111 1111 1111 12/27 now", "card", "4111 1111 1111 1111"), ("4111 1111 1111 1111 123", "card", "4111 1111 1111 1111"),
+    ("2024-01-02 4111 1111 1111 1111", "card", "4111 1111 1111 1111"), ("12 4111-1111-1111-1111 99", "card", "4111-1111-1111-1111"),
+    ("to AT61 1904 3002 3457 3201 BIC", "iban", "AT61 1904 3002 3457 3201"), ("AT611904300234573201 BIC ABC", "iban", "AT611904300234573201")])
+def test_values_beside_other_digits_or_capitals_are_found(text, kind, value):
+    for key in (b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"h"):
+        p = feistel.Pseudonyms(key)
+        found = feistel.find(text, p)
+        assert (kind, value) in {(f[2], text[f[0]:f[1]]) for f in found}
+        new = feistel.rewrite(text, found)
+        assert value not in new
+        assert feistel.rewrite(new, feistel.find(new, p, True)) == text
