@@ -35,7 +35,7 @@ def dedupe_offers(offers: DataFrame, name: str = "name", order: str = "position"
     groups = groups.withColumn("rows", F.array_sort("rows", by_position))
     price = lambda r: F.coalesce(F.nullif(r["price"], F.lit(0.0)), F.lit(9e9))
     wins = lambda old, new: ((old["confidence"] == "low") & (new["confidence"] != "low")) | (price(new) < price(old))
-    kept = F.aggregate(F.slice(F.col("rows"), 2, 1_000_000), F.col("rows")[0], lambda old, new: F.when(wins(old, new), new).otherwise(old))
+    kept = F.aggregate(F.slice(F.col("rows"), F.lit(2), F.size("rows")), F.col("rows")[0], lambda old, new: F.when(wins(old, new), new).otherwise(old))
     return groups.select(kept.alias("k")).select(F.col("k._o").alias(order), *(F.col("k")[c].alias(c) for c in offers.columns if c != order)).select(*offers.columns)
 
 

@@ -53,6 +53,19 @@ def test_dedupe_keeps_the_cheaper_even_if_low_but_drops_a_low_incumbent(spark):
     assert got == {("a", None): (9.0, "high"), ("b", None): (5.0, "low"), ("b", 2020): (1.0, "high")}
 
 
+def test_dedupe_folds_over_all_offers_of_a_name(spark):
+    kept = merge.dedupe_offers(spark.createDataFrame([("s", "A", None, 5.0, "high", 1)], OFFER))
+    assert "1000000" not in kept._jdf.queryExecution().analyzed().toString()
+
+
+def test_the_diff_names_every_change(spark):
+    from offerlens.plans import flow
+
+    diff = spark.sql("SELECT concat('k', id) AS key, CAST(NULL AS DOUBLE) AS delta, 'gone' AS change FROM range(600) UNION ALL SELECT 'p', -1.5D, 'price'")
+    text = flow.diff_markdown(diff)
+    assert text.count("- k") == 600 and "- p: -1.50" in text
+
+
 def test_merge_two_sellers(spark):
     rows = [("k", "Tenute Rossetti Linda", "rossetti linda", "coop", 12.95, "high", "u1", 2022, False), ("k", "Rossetti", "rossetti", "prodega", 9.73, "high", "u2", 2022, True),
             ("k", "Rossetti", "rossetti", "prodega", 1.20, "low", "u3", 2022, False)]
