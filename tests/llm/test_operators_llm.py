@@ -238,24 +238,10 @@ def test_near_duplicates_are_the_brute_force_ones(spark, monkeypatch, small):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_deep_trees_lose_no_more_pairs(spark, monkeypatch):
-    """30 pairs that agree in 96 of 128 positions, in one crowd of documents that agree in half of them, from a single tree on."""
-    for name, value in (("SMALL", 2), ("TREES", 1), ("SHALLOW", 1)):
-        monkeypatch.setattr(minhash_trees, name, value, raising=False)
-    rng = np.random.default_rng(5)
-    fresh = iter(range(10, 10**7))
-    rows = []
-    for pair in range(30):
-        a = [1 if rng.random() < 0.75 else next(fresh) for _ in range(128)]
-        b = list(a)
-        for at in rng.permutation(128)[:32]:
-            b[at] = next(fresh)
-        low = (np.arange(100) + pair * 1000).astype("<u4").tobytes()
-        rows += [(2 * pair, a, low), (2 * pair + 1, b, low)]
-    reps = spark.createDataFrame([(i, s, bytearray(x)) for i, s, x in rows], "id long, sig array<int>, low binary")
-    none = spark.createDataFrame([], "id long, component long")
-    got = {(r["u"], r["v"]) for r in minhash_trees.tree_pairs(reps, none, Scratch(spark, "deep")).collect()}
-    assert len(got & {(2 * i, 2 * i + 1) for i in range(30)}) >= 29
+def test_more_trees_at_more_depth():
+    for depth in (6, 10, 18):
+        assert minhash_trees.lost(depth, 0.75) ** minhash_trees.trees_for(depth) <= 0.004 < minhash_trees.lost(depth + 1, 0.75) ** 10 * 2
+    assert minhash_trees.trees_for(5) == minhash_trees.TREES
 
 
 def test_near_duplicates_odd_input(spark):
