@@ -67,17 +67,25 @@ class WordIds(dict):
                     letters[core] = text
                 if len(core) < len(w):
                     marked.append((w, core))
-        keys, texts = list(letters), list(letters.values())
-        for a in range(0, len(keys), TOGETHER):
-            ids = np.asarray(self.tok.encode(" ".join(texts[a:a + TOGETHER]), add_special_tokens=False).ids, dtype="<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            part = keys[a:a + TOGETHER]
-            if len(cuts) == len(part):
-                data = ids.tobytes()
-                self.update(zip(part, (data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
+        self._together(list(letters), list(letters.values()))
         for w, core in marked:
             self[w] = self[core] + self[w[len(core):]]
 
+    def _together(self, keys: list[bytes], texts: list[str]) -> None:
+        """Encode words in one call where that gives one word end for each; a part that holds a word with more ends is halved."""
+        parts = [(a, min(a + TOGETHER, len(keys))) for a in range(0, len(keys), TOGETHER)]
+        while parts:
+            a, b = parts.pop()
+            ids = np.asarray(self.tok.encode(" ".join(texts[a:b]), add_special_tokens=False).ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == b - a:
+                data = ids.tobytes()
+                self.update(zip(keys[a:b], (data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
+            elif b - a > 1:
+                parts += [(a, (a + b) // 2), ((a + b) // 2, b)]
+            else:
+                self[keys[a]] = ids.tobytes()
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         words = [(t or "").encode().lower().split() for t in texts]
         self.learn(set().union(*words))
