@@ -6,7 +6,8 @@ security numbers), the calendar (dates). Each value is ranked within its format,
 the rank is permuted by a keyed Feistel network over exactly that many values
 (cycle walking stays inside), and the new rank is written back in the same
 format. One key gives one permutation per kind, so equal values stay equal in
-every document, no two values meet, and whoever has the key can go back.
+every document, no two values meet, and whoever has the key can go back. Dates
+with a month or day of one digit are formats of their own and keep their length.
 
 Defined results: null texts stay null; empty texts have no findings; overlapping
 finds go to the earlier, then longer one; repeated rows are treated alike.
@@ -18,6 +19,7 @@ import datetime
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
@@ -99,6 +101,16 @@ def _spell(rank: int, shape: list[tuple[int, str]]) -> str:
     return "".join(reversed(out))
 
 
+@lru_cache(maxsize=4)
+def _days(short_month: bool, short_day: bool) -> list[int]:
+    """Ordinals of the days that a format can write: a month or day of one digit lies under 10."""
+    every = range(FIRST_DAY.toordinal(), LAST_DAY.toordinal() + 1)
+    if not short_month and not short_day:
+        return list(every)
+    each = ((n, datetime.date.fromordinal(n)) for n in every)
+    return [n for n, d in each if not (short_month and d.month > 9) and not (short_day and d.day > 9)]
+
+
 class Pseudonyms:
     """Finders and permuted rewritings by kind of personal data."""
 
@@ -172,9 +184,11 @@ class Pseudonyms:
             return None
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        size = (LAST_DAY - FIRST_DAY).days + 1
-        new = FIRST_DAY + datetime.timedelta(self._perm("date", size)((day - FIRST_DAY).days, back))
-        values = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
+        short = tuple(len(parts[order[k]]) == 1 for k in (1, 2))
+        days = _days(*short)
+        rank = self._perm("date" + "m" * short[0] + "d" * short[1], len(days))(bisect_left(days, day.toordinal()), back)
+        new = datetime.date.fromordinal(days[rank])
+        values = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:0{2 - short[0]}d}", order[2]: f"{new.day:0{2 - short[1]}d}"}
         return sep.join(values[i] for i in range(3))
 
 
