@@ -5,12 +5,13 @@ the pieces with their scores and byte fallback are rebuilt as a tokenizers
 pipeline: a unigram lattice from the scores, or for a BPE model the merges that
 the scores imply. Texts are cut before every run of markers where no piece can
 reach across, so that what repeats is encoded once per worker; the distinct
-chunks of a batch go to ``encode_batch``, which is multithreaded. Parity with the
-sentencepiece library is verified on every distinct chunk when it is first
-encoded, and its ids are taken where the two differ.
+chunks of a batch, many to a text, go to the library's multithreaded batch
+encoder. Parity with the sentencepiece library is verified on every distinct chunk
+when it is first encoded (a chunk that only stands beside a line feed is verified
+there), and its ids are taken where the two differ.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
-ids outside the vocabulary raise; repeated rows are encoded each.
+parity is null where a chunk could not be compared; ids outside the vocabulary raise; repeated rows are encoded each.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from .batches import held, map_columns
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO_CHUNKS, TOGETHER = 1_000_000, 20_000
+#: Distinct chunks a worker remembers before it starts anew; chunks in one text of a batch.
+MEMO_CHUNKS, TOGETHER = 1_000_000, 2_000
 #: Threads of a worker's batches; more than an executor has cores for each task only wait for one another.
 THREADS = 2
 
@@ -160,6 +162,7 @@ class Bridge:
         self.lines = m.byte_fallback and not any("\n" in p for p, *_ in m.pieces)
         self.seen: dict[str, bytes] = {}
         self.differ: set[str] = set()
+        self.unheld: set[str] = set()
 
     def normalised(self, text: str) -> str:
         """The text as pieces see it: mapped characters, spaces as markers, one marker in front."""
@@ -184,46 +187,62 @@ class Bridge:
         if len(self.seen) + len(wanted) > MEMO_CHUNKS:
             self.seen.clear()
             self.differ.clear()
+            self.unheld.clear()
         self.seen[""] = b""
         new = [c for c in wanted if c not in self.seen]
         one = [c for c in new if c[0] == MARK and len(c) > 1 and MARK not in c[1:]] if not (self.across or self.user) else []
-        for a in range(0, len(one), TOGETHER):
-            self._together(one[a:a + TOGETHER])
+        self._together([one[a:a + TOGETHER] for a in range(0, len(one), TOGETHER)])
         self._apart([c for c in new if c not in self.seen])
 
-    def _together(self, chunks: list[str]) -> None:
-        """Encode chunks that each open with their only marker as one text, if that gives one opening piece for each."""
-        text = "".join(chunks)
-        ids = self.words.encode(text, add_special_tokens=False).ids
-        plain = text.replace(MARK, " ")
-        plain = plain[1:] if self.model.dummy_prefix else plain
-        if self.normalised(plain) != text or self.reference.encode(plain, num_threads=1) != ids:
-            return  # taken apart, to find the chunks that differ
-        flat = np.asarray(ids, dtype="<u4")
-        cuts = (4 * np.flatnonzero(self.opens[flat])).tolist()
-        if len(cuts) == len(chunks) and cuts[0] == 0:
-            data = flat.tobytes()
-            self.seen.update(zip(chunks, (data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)), strict=True))
+    def _plain(self, chunk: str) -> str:
+        """The text that normalising turns into ``chunk``, with spaces for markers where it keeps them, if any text does."""
+        bare = chunk[1:] if self.model.dummy_prefix and chunk.startswith(MARK) else chunk
+        spaced = bare.replace(MARK, " ")
+        return spaced if spaced == bare or self.normalised(spaced) == chunk else bare
+
+    def _together(self, groups: list[list[str]]) -> None:
+        """Encode groups of chunks that each open with their only marker, a group as one text of a batch, where that gives one opening piece for each."""
+        texts = ["".join(g) for g in groups]
+        plain = [self._plain(t) for t in texts]
+        told = self.reference.encode(plain, num_threads=THREADS) if plain else []
+        for chunks, text, p, e, r in zip(groups, texts, plain, self.words.encode_batch_fast(texts, add_special_tokens=False), told, strict=True):
+            if e.ids != r or self.normalised(p) != text:
+                continue  # taken apart, to find the chunks that differ
+            flat = np.asarray(r, dtype="<u4")
+            cuts = (4 * np.flatnonzero(self.opens[flat])).tolist()
+            if len(cuts) == len(chunks) and cuts[0] == 0:
+                data = flat.tobytes()
+                self.seen.update(zip(chunks, (data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)), strict=True))
 
     def _apart(self, new: list[str]) -> None:
-        got = self.tok.encode_batch(new, add_special_tokens=False)
-        plain = [c.replace(MARK, " ") for c in new]
-        lead = self.model.dummy_prefix
-        told = self.reference.encode([p[1:] if lead and p.startswith(" ") else p for p in plain], num_threads=1) if new else []
+        """Encode chunks one by one; the library sees each as a text or, where it would change that text, between line feeds."""
+        got = self.tok.encode_batch_fast(new, add_special_tokens=False)
+        plain = [self._plain(c) for c in new]
+        told = self.reference.encode(plain, num_threads=THREADS) if new else []
         for c, p, e, r in zip(new, plain, got, told, strict=True):
-            # the library sees the chunk as a text; where it would change that text, only whole texts are comparable
-            comparable = self.normalised(p[1:] if lead and p.startswith(" ") else p) == c
-            ids = e.ids
-            if comparable and ids != r:
+            ids, right = e.ids, r if self.normalised(p) == c else self._between_lines(c)
+            if right is None:
+                self.unheld.add(c)
+            elif ids != right:
                 self.differ.add(c)
-                ids = r
+                ids = right
             self.seen[c] = np.asarray(ids, dtype="<u4").tobytes()
 
-    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
-        """Little-endian unsigned 32-bit ids of each text, and whether every chunk had parity."""
+    def _between_lines(self, chunk: str) -> list[int] | None:
+        """The library's ids of a chunk between two line feeds that no piece reaches across; None if it cannot be shown so."""
+        text = "x\n" + chunk.replace(MARK, " ") + "\nx"
+        if not self.lines or self.normalised(text) != self.normalised("x\n") + chunk + "\nx":
+            return None
+        head, both, whole = (self.reference.encode(t) for t in ("x\n", "x\n\nx", text))
+        tail = both[len(head):]
+        return whole[len(head):len(whole) - len(tail)] if whole[:len(head)] == head and whole[len(whole) - len(tail):] == tail else None
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, bool | None]]:
+        """Little-endian unsigned 32-bit ids of each text, and whether every chunk had parity: None if some chunk could not be compared."""
         cut = [self.chunks(self.normalised(t)) if t else [] for t in texts]
         self.learn(set().union(*cut))
-        return [(b"".join(map(self.seen.__getitem__, c)), not self.differ or self.differ.isdisjoint(c)) for c in cut]
+        held = lambda c: False if self.differ and not self.differ.isdisjoint(c) else None if self.unheld and not self.unheld.isdisjoint(c) else True
+        return [(b"".join(map(self.seen.__getitem__, c)), held(c)) for c in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: markers become spaces, the one in front goes, control ids are silent."""
