@@ -24,10 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import map_columns
-from .sampling import bounded
+from .sampling import bounded, within_bytes
 
 ORDER = 3
 MAX_DOCS = 800
+#: Bytes of text that one language's trees are made from at most.
+MAX_LANG_BYTES = 4 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -192,11 +194,11 @@ class Ppm:
 
 
 def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, order: int = ORDER) -> Ppm:
-    """Context trees from ``(doc_id, text, lang)``; at most ``max_docs`` texts of each language are read."""
-    rows = bounded(labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang"),
-                   "doc_id", max_docs, "lang").collect()
+    """Context trees from ``(doc_id, text, lang)``; of each language at most ``max_docs`` texts and ``MAX_LANG_BYTES`` are read."""
+    rows = bounded(labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang"), "doc_id", max_docs, "lang")
+    rows = within_bytes(rows, "doc_id", "text", "lang", MAX_LANG_BYTES)
     samples: dict[str, list[str]] = {}
-    for r in rows:
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], r["text"])):
         samples.setdefault(r["lang"], []).append(r["text"])
     return Ppm(sorted(samples), samples, order)
 

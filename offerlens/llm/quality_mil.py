@@ -8,7 +8,7 @@ scores the weighted sum. Only document labels train it: attention finds the
 passages that decide.
 
 Scoring reads whole texts. Fitting reads a bounded sample of labelled rows
-(``max_docs``), whole texts too.
+(``max_docs``, and ``sampling.MAX_BYTES`` of text), whole texts too.
 
 Defined results: null and empty texts are one empty passage and get that bag's
 score; repeated rows are scored each; with no labelled row every score is 0.5.
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import map_columns
-from .sampling import bounded
+from .sampling import labelled_texts
 
 MAX_DOCS = 6000
 PASSAGE_WORDS = 64
@@ -159,11 +159,9 @@ class Mil:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Mil:
-    """Weights from ``labels`` (``doc_id, quality``; repeated ids count by their majority) and the texts of those documents."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    chosen = bounded(known, "doc_id", max_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return Mil().fit([r["text"] for r in rows], np.asarray([r["y"] for r in rows], dtype=np.float32))
+    """Weights from ``labels`` (``doc_id, quality``) and the texts of those documents; see ``labelled_texts``."""
+    rows = labelled_texts(docs, labels, "quality", max_docs)
+    return Mil().fit([t for t, _ in rows], np.asarray([y for _, y in rows], dtype=np.float32))
 
 
 def score(docs: DataFrame, model: Mil) -> DataFrame:
