@@ -10,7 +10,7 @@ from . import feistel, hash_search, language_ppm, minhash_trees, packing, pieces
 from .sampling import fold
 
 #: Probability of any severity from which a text counts as toxic: texts without evidence stay under 0.05.
-TOXIC_AT = 0.15
+TOXIC_AT = 0.25
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlens.llm import (batches, feistel, graph, hash_search, language_ppm, minhash_trees, packing, pieces, quality_mil, queries,
-                           secret_forest, toxicity_ordinal, vector_dedup)
+                           sampling, secret_forest, toxicity_ordinal, vector_dedup)
 from offerlens.llm.scratch import Scratch
 from offerlens.llm.shingles import shingle_set
 from tests_llm_helpers import brute_components
@@ -414,7 +414,7 @@ def test_permutation_is_one(size):
     assert all(p(p(i), True) == i for i in range(size))
 
 
-CASES = ["4111 1111 1111 1111", "4111111111111111", "DE89 3704 0044 0532 0130 00", "078-05-1120", "2024-02-29", "31.12.1999", "12/31/1999", "+41 44 668 18 00", "+1 (168) 555-5254", "97.51.17.173", "Ab.34@Mail7.example.com"]
+CASES = ["1.2.2024", "9.12.2024", "31.1.1999", "3/4/2001", "4111 1111 1111 1111", "4111111111111111", "DE89 3704 0044 0532 0130 00", "078-05-1120", "2024-02-29", "31.12.1999", "12/31/1999", "+41 44 668 18 00", "+1 (168) 555-5254", "97.51.17.173", "Ab.34@Mail7.example.com"]
 
 
 @pytest.mark.parametrize("value", CASES)
@@ -423,10 +423,10 @@ def test_pseudonyms_keep_the_format_and_return(value):
     text = f"before {value} after"
     found = feistel.find(text, p)
     assert len(found) == 1
-    a, b, _, new = found[0]
+    a, b, kind, new = found[0]
     assert text[a:b] == value
     assert new != value
-    assert len(new) == len(value) or "." in value
+    assert len(new) == len(value) or kind == "address"
     again = feistel.find(feistel.rewrite(text, found), p, back=True)
     assert feistel.rewrite(feistel.rewrite(text, found), again) == text
     assert feistel.find("elsewhere: " + value, p)[0][3] == new
@@ -487,6 +487,59 @@ def test_toxicity_held_out_and_ordered(spark):
     assert {r["expected_severity"] for r in toxicity_ordinal.severity(docs, nothing).collect()} == {0.0}
 
 
+def test_toxicity_likelihood_gradients():
+    """Score and threshold gradients, and the Hessian, are those of the cumulative-link likelihood."""
+    rng = np.random.default_rng(0)
+    s, grade, theta = rng.standard_normal(40), rng.integers(0, 4, 40), np.asarray([-0.5, 0.3, 1.2])
+    loss, by_score, by_theta, hess = toxicity_ordinal.likelihood(theta, s, grade)
+    edges = np.asarray([-np.inf, *theta, np.inf])
+    cumulative = lambda z: 1 / (1 + np.exp(-z))
+    assert loss == pytest.approx(-np.mean([np.log(cumulative(edges[g + 1] - x) - cumulative(edges[g] - x)) for g, x in zip(grade, s)]))
+    for i in range(40):
+        e = np.eye(40)[i] * 1e-6
+        slope = (toxicity_ordinal.likelihood(theta, s + e, grade)[0] - toxicity_ordinal.likelihood(theta, s - e, grade)[0]) / 2e-6
+        assert by_score[i] == pytest.approx(slope, abs=1e-7)
+    for i in range(3):
+        e = np.eye(3)[i] * 1e-6
+        up, down = toxicity_ordinal.likelihood(theta + e, s, grade), toxicity_ordinal.likelihood(theta - e, s, grade)
+        assert by_theta[i] == pytest.approx((up[0] - down[0]) / 2e-6, abs=1e-7)
+        assert hess[i] == pytest.approx((up[2] - down[2]) / 2e-6, abs=1e-6)
+
+
+def test_toxicity_features_are_counted_as_by_hand():
+    texts = ["bad badly bad good", None, "goods", "bad"]
+    bags = toxicity_ordinal.Bags(texts)
+    names = sorted({p for t in texts for w in toxicity_ordinal.words(t) for p in toxicity_ordinal.parts(w)})
+    got = {(r, names[c]): n for r, c, n in zip(*bags.counts(names))}
+    want = {}
+    for i, t in enumerate(texts):
+        for w in toxicity_ordinal.words(t):
+            for p in toxicity_ordinal.parts(w):
+                want[i, p] = want.get((i, p), 0) + 1
+    assert got == want
+
+
+def test_toxicity_ties_and_repeated_ids(spark):
+    """Equal labels on both sides give no weight; a repeated id counts once, whatever the order of rows."""
+    docs = spark.createDataFrame([(i, "same text") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity_ordinal.fit(docs, labels)
+    rows = toxicity_ordinal.severity(docs, model).collect()
+    assert {(r["grade"], round(r["p_toxic"], 3)) for r in rows} == {(0, 0.5)}
+    twice = [(1, "b text"), (1, "a text"), (2, "c")]
+    for order in (twice, twice[::-1]):
+        got = sampling.labelled_texts(spark.createDataFrame(order, "doc_id long, text string"), labels, "toxic", 100)
+        assert got == [("a text", 1), ("c", 0)]
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 100, "ab"[i % 2]) for i in range(50)] + [(99, "y" * (sampling.MAX_TEXT + 1), "a")], "doc_id long, text string, lang string")
+    assert sampling.within_bytes(docs, "doc_id", "text", most=1000).count() == 10
+    assert sampling.within_bytes(docs, "doc_id", "text", "lang", 500).count() == 10
+    assert sampling.bounded(docs, "doc_id", 7, "lang").groupBy("lang").count().collect() == sampling.bounded(docs.repartition(3), "doc_id", 7, "lang").groupBy("lang").count().collect()
+    assert {r["doc_id"] for r in sampling.bounded(docs, "doc_id", 7, "lang").collect()} == {r["doc_id"] for r in sampling.bounded(docs.orderBy("text"), "doc_id", 7, "lang").collect()}
+
+
 # shared
 
 def test_groups_stream_across_batches(spark):
