@@ -70,7 +70,8 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per confirmed secret; the value itself appears only as a digest."""
-    found = secret_forest.scan(table(spark, sf_dir, "documents"), secret_forest.train(secret_forest.labelled_findings()))
+    docs = table(spark, sf_dir, "documents")
+    found = secret_forest.scan(docs, secret_forest.learned(docs))
     rows = found.select("doc_id", F.explode("findings").alias("f")).where("f.secret")
     return rows.select("doc_id", "f.start", "f.end", "f.score", F.sha2("f.value", 256).alias("value_sha256"))
 

@@ -1,16 +1,25 @@
 """Secret scan whose candidates a random forest confirms.
 
-Candidates are runs of the characters that keys are written in. A forest decides
-which are secrets from their length, the transitions between their characters,
-how much of them dictionary words cover, whether they look like a path, host,
-number or date, and the words beside them. It is trained from labelled findings:
-rows of ``(text, start, end, label)``. ``labelled_findings`` writes such rows from
-a seed: keys of common shapes beside the words that announce them, and what scans
-wrongly report (hashes of commits and files, identifiers, addresses, hosts, paths,
-versions, long words).
+Candidates are runs of the characters that keys are written in, whatever follows
+a word such as ``password`` and an assignment (to the end of the word, or of the
+quotes), and passwords in addresses. A forest decides which are secrets from their
+length, the transitions between their characters, how much of them dictionary
+words cover, whether they look like a path, host, number, date or stand-in, and
+the words beside them. The dictionary is what the corpus itself uses often
+(``frequent_words``). The forest is trained from labelled findings: rows of
+``(text, start, end, label)``, whose candidates it sees as a scan would.
+``labelled_findings`` writes such rows from a seed: keys of common shapes and
+passwords beside the words that announce them, and what scans wrongly report
+(hashes of commits and files, identifiers, addresses, hosts, paths, versions, long
+words, stand-ins, prose behind a colon).
+
+What the gate leaves out: values of under four characters, and runs of under
+twelve without an announcing word, or without a digit unless long and of mixed
+case.
 
 Defined results: null and empty texts have no findings; repeated rows are
-scanned each; places count characters; a redacted text is otherwise unchanged.
+scanned each; of candidates that overlap the first, then the longer one counts;
+places count characters; a redacted text is otherwise unchanged.
 """
 
 from __future__ import annotations
@@ -18,52 +27,55 @@ from __future__ import annotations
 import math
 import random
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import map_columns
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.~=-])[A-Za-z0-9+/_.~=-]{12,}")
-_KEY = re.compile(r"secret|token|passw|pwd|api|key|auth|bearer|credential|private", re.I)
+RUN = re.compile(r"(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{12,}(?:={1,2}(?![A-Za-z0-9+/_.~=-]))?")
+_NAMES = r"passw(?:or)?d|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer"
+ANNOUNCED = re.compile(rf"(?:{_NAMES})[A-Za-z0-9_]{{0,20}}[\"'`]?\s{{0,8}}(?:=>|:=|[=:])\s{{0,8}}(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|([^\s\"'`,;<>(){{}}]+))", re.I)
+USERINFO = re.compile(r"://[^\s/:@]+:([^\s/@]+)@")
+_KEY = re.compile(r"secret|token|passw|passphrase|pwd|api|key|auth|bearer|credential|private", re.I)
+_PASSWORD = re.compile(r"passw|passphrase|pwd", re.I)
 _INNOCENT = re.compile(r"commit|sha|md5|hash|digest|checksum|uuid|guid|build|version|revision|etag|trace|request|file|path|host|mail|http|image|integrity", re.I)
+_STANDIN = re.compile(r"^(?:none|null|nil|true|false|yes|no|required|optional|unset|empty|todo|tbd|n/a|string|str|text|hidden|redacted|change_?me|your[_-].*|my[_-].*|example.*|x{3,}|\*+|\.{3,}|<.*>|\[.*\]|\$\{?.*|%.*%|\{\{.*|(?:os|process|sys|config|settings|env|self|args|request)[.\[(].*)$", re.I)
 _WORD = re.compile(r"[A-Za-z]{3,}")
 _TAIL = re.compile(r"([\w-]*)[\"'`]?\s*(=>|:=|[=:])?\s*[\"'`]?$")
 THRESHOLD, MARK = 0.5, "<secret>"
 TREES, DEPTH, SEED = 40, 10, 23
+#: Shortest value that an announcing word makes a candidate; words of the dictionary, and how often each must occur.
+MIN_VALUE, WORDS, MIN_COUNT = 4, 20_000, 5
 
 #: Beginnings that well-known key formats have.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk_test_", "rk_live_", "AIza", "ya29.", "eyJ", "SG.", "npm_", "pypi-")
 
+#: Words around secrets, hosts and code that a corpus of prose may lack.
+COMMON = frozenset("""example mail com org net www http https index html file path user home data config test main master default local
+    host server client static image content version release build package module class function return value name type
+    string number object array list table column admin login session request response error message document page
+    report summary result output input source target password secret token key private public access account service""".split())
 
-def _kind(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
+def frequent_words(docs: DataFrame, most: int = WORDS, least: int = MIN_COUNT) -> frozenset[str]:
+    """The ``most`` most frequent words of three letters or more over all texts, ties in order of the alphabet, and ``COMMON``."""
+    each = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("length(word) between 3 and 24")
+    top = each.groupBy("word").count().where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(most)
+    return COMMON | {r["word"] for r in top.collect()}
 
-@lru_cache(maxsize=1)
-def dictionary() -> frozenset[str]:
-    """Words of the library's own prose: what documentation and code around secrets is made of."""
-    import builtins
-    import keyword
 
-    base = set(dir(builtins)) | set(keyword.kwlist)
-    base |= set("""example mail com org net www http https index html file path user home data config test main master default local
-        host server client static image content version release build package module class function return value name type
-        string number object array list table column user admin login session request response error message document page
-        report summary result output input source target the and for with from that this have not are was were will which
-        their about there these other into more some time than only over new also after first two any may such our world
-        der die und das ist nicht den von mit les des est que une dans pour los las del con una por para""".split())
-    return frozenset(w.lower() for b in base for w in re.findall(r"[A-Za-z]{3,}", b))
+def _kind(c: str) -> int:
+    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def covered(token: str) -> float:
+def covered(token: str, known: frozenset[str] = COMMON) -> float:
     """Share of a token's letters that belong to dictionary words, or to runs of letters that read like words."""
-    low, words, total = token.lower(), dictionary(), 0
+    total = 0
     letters = sum(c.isalpha() for c in token)
-    for m in _WORD.finditer(low):
+    for m in _WORD.finditer(token.lower()):
         run = m[0]
-        if run in words:
+        if run in known:
             total += len(run)
             continue
         vowels = sum(c in "aeiouy" for c in run)
@@ -72,7 +84,7 @@ def covered(token: str) -> float:
     return total / letters if letters else 0.0
 
 
-def features(text: str, start: int, end: int) -> list[float]:
+def features(text: str, start: int, end: int, known: frozenset[str] = COMMON) -> list[float]:
     t = text[start:end]
     n = len(t)
     kinds = [_kind(c) for c in t]
@@ -90,21 +102,24 @@ def features(text: str, start: int, end: int) -> list[float]:
     low = t.lower()
     dots = t.split(".")
     return [
-        n, entropy, entropy / math.log2(n), *counts, *(steps[a][b] / max(1, n - 1) for a in range(4) for b in range(4)),
-        covered(t), max((len(r) for r in re.findall(r"[A-Za-z]+", t)), default=0), max((len(r) for r in re.findall(r"\d+", t)), default=0),
+        n, entropy, entropy / math.log2(max(n, 2)), *counts, *(steps[a][b] / max(1, n - 1) for a in range(4) for b in range(4)),
+        covered(t, known), float(low in known), max((len(r) for r in re.findall(r"[A-Za-z]+", t)), default=0), max((len(r) for r in re.findall(r"\d+", t)), default=0),
         t.count("/"), t.count("."), t.count("-"), t.count("_"), float(t.endswith("=")),
         float(all(c in "0123456789abcdef" for c in low)), float(bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))),
         float(all(p.isdigit() for p in dots)), float(bool(re.search(r"\.[a-z]{2,4}$", low))), float(t.startswith("/") or "://" in t or "./" in t),
         float(before.endswith("@")), float(after == "@"), float(t.startswith(PREFIXES)),
         float(assign is not None or before.endswith(("=", "='", '="'))), float(bool(_KEY.search(name)) or any(_KEY.search(w) for w in near)),
         float(bool(_INNOCENT.search(name)) or any(_INNOCENT.search(w) for w in near)), float(before[-1:] in "\"'`" and before != ""), float(after in ("\"", "'", "`")),
+        float(bool(_STANDIN.match(t))), float(bool(_PASSWORD.search(name))), float(assign in ("=", ":=", "=>")), float(t.count(" ")),
+        float(before.endswith(":") and after == "@"), float(sum(not c.isalnum() for c in t)), float(after == "("),
     ]
 
 
 class Forest:
     """Trees over features, each as arrays of splits and leaf shares."""
 
-    def __init__(self) -> None:
+    def __init__(self, known: frozenset[str] = COMMON) -> None:
+        self.known = known
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def fit(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Forest:
@@ -159,13 +174,25 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, int, int, int]]:
-    """``(text, start, end, label)`` rows of secrets (1) and of what is not one (0)."""
+def labelled_findings(n: int = 6000, seed: int = SEED, known: frozenset[str] = COMMON) -> list[tuple[str, int, int, int]]:
+    """``(text, start, end, label)`` rows of secrets (1) and of what is not one (0), with prose from the dictionary."""
     rng = random.Random(seed)
     hexa, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
     syllables = "the ing er on an re ed st or ti es at en ou in de la que ch ung lich ver tion ment os ra ci do".split()
-    word = lambda a=1, b=5: "".join(rng.choice(syllables) for _ in range(rng.randint(a, b)))
+    vocabulary = sorted(known)
+    word = lambda a=1, b=5: rng.choice(vocabulary) if rng.random() < 0.5 else "".join(rng.choice(syllables) for _ in range(rng.randint(a, b)))
+    leet = lambda w: "".join({"a": "4", "e": "3", "i": "1", "o": "0", "s": "5"}.get(c, c) if rng.random() < 0.5 else c for c in w)
+    long_word = lambda: next(w for w in iter(lambda: word(2, 5), None) if len(w) >= 4)
+    passwords = [
+        lambda: long_word() + pick("0123456789", rng.randint(1, 4)), lambda: leet(long_word()).capitalize() + rng.choice("&!#$%*+?@") + pick("0123456789", rng.randint(1, 3)),
+        lambda: "".join(long_word() for _ in range(rng.randint(3, 5))), lambda: "-".join(long_word() for _ in range(rng.randint(4, 5))), lambda: pick(mixed + "!#$%&*+?_-", rng.randint(7, 18)),
+        lambda: long_word().capitalize() + rng.choice("!#$%*") + pick("0123456789", 2) + long_word(), lambda: pick(mixed, rng.randint(6, 11)),
+    ]
+    password_names = ["password", "passwd", "pwd", "db_password", "PASSWORD", "user_pwd", "passphrase", "Password", "admin_password", "secret", "client_secret"]
+    standins = ["none", "null", "true", "required", "optional", "your_password", "your-token", "changeme", "********", "${DB_PASSWORD}", "<password>", "os.environ", "process.env.SECRET", "getpass", "example",
+                "xxxxxxxx", "string", "{{ secret }}", "settings.SECRET_KEY", "hidden", "%PASSWORD%", "[redacted]", "config.token", "n/a", "request.token", "self.password", "args.token"]
+    key_names = ["password", "secret", "token", "api_key", "auth", "bearer", "credentials", "private_key", "passphrase"]
     secrets = [
         lambda: pick(hexa, rng.choice([32, 40, 48, 64])), lambda: pick(mixed, rng.randint(20, 48)), lambda: pick(mixed + "+/", 40) + rng.choice(["", "=", "=="]),
         lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + pick(mixed, 36), lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(mixed, 24),
@@ -187,12 +214,35 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, int, i
     for i in range(n):
         prose = lambda k: " ".join(word() for _ in range(rng.randint(0, k)))
         junk = rng.choice(["", "", "", " ", ".", ",", "!!", "***", "###", "\n"])
-        if i % 2:
+        kind = i % 4
+        if kind == 1:
             token, label = rng.choice(secrets)(), 1
             name, (open_, close) = rng.choice(names), rng.choice([('"', '"'), ("'", "'"), ("", ""), ('"', '"')])
             lead = name + rng.choice([" = ", "=", ": ", " : ", " ", " := "]) + open_
             if rng.random() < 0.1 and token.startswith(PREFIXES):
                 lead, close = "", ""
+        elif kind == 3 and i % 8 == 3:
+            token, label = rng.choice(passwords)(), 1
+            if rng.random() < 0.2:
+                token = token.replace("@", "x").replace("/", "x")
+                lead, close, junk = rng.choice(["postgres", "mysql", "https", "amqp", "redis"]) + "://" + word(1, 2) + ":", "@" + word(1, 3) + rng.choice([".example.com", ":5432/db", ""]), " "
+            else:
+                open_ = rng.choice(['"', "'", "", '"'])
+                lead, close = rng.choice(password_names) + rng.choice(['" : ', " = ", "=", ": ", " := "]) + open_, open_
+                junk = junk if open_ else rng.choice(["", " ", "\n"])
+        elif kind == 3:  # an announcing word, and no secret behind it
+            label, close, name = 0, "", rng.choice(key_names)
+            form = rng.random()
+            if form < 0.4:
+                token, close = rng.choice([str, str, str.capitalize, str.upper])(rng.choice(standins)), rng.choice(["", '"'])
+                lead = name + rng.choice([" = ", "=", ": "]) + ('"' if close else "")
+                if rng.random() < 0.15:
+                    lead, token, close = rng.choice(["Authorization: ", "authorization: ", "auth: ", "WWW-Authenticate: "]), rng.choice(["Bearer", "Basic", "Digest", "bearer", "Token"]), ""
+            elif form < 0.8:
+                token, lead = long_word(), word() + " " + name + rng.choice([": ", " : "])
+                junk = " " + prose(6)
+            else:
+                token, lead, close = " ".join(word() for _ in range(rng.randint(2, 6))), name + ': "', '"'
         else:
             make, before = rng.choice(innocent)
             token, label, close = make(), 0, rng.choice(["", "", "", '"'])
@@ -207,31 +257,55 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, int, i
     return out
 
 
-def train(findings: list[tuple[str, int, int, int]]) -> Forest:
-    """A forest from labelled findings; with none, nothing is confirmed."""
+def train(findings: list[tuple[str, int, int, int]], known: frozenset[str] = COMMON) -> Forest:
+    """A forest from labelled findings, each as the candidate that a scan would make of it; with none, nothing is confirmed."""
     if not findings:
-        return Forest()
-    return Forest().fit(np.asarray([features(t, a, b) for t, a, b, _ in findings]), np.asarray([y for *_, y in findings], dtype=float))
+        return Forest(known)
+    x, y = [], []
+    for t, a, b, label in findings:
+        met = [(i, j) for i, j in candidates(t) if i < b and a < j]
+        for i, j in met or [(a, b)]:
+            x.append(features(t, i, j, known))
+            y.append(label if (i, j) == (a, b) or not met or min(j, b) - max(i, a) > (b - a) / 2 else 0)
+    return Forest(known).fit(np.asarray(x), np.asarray(y, dtype=float))
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Places of runs that hold a digit, or that are long and mix cases."""
-    out = []
-    for m in CANDIDATE.finditer(text or ""):
+    """Places of runs that hold a digit, or that are long and mix cases; of announced values; and of passwords in addresses."""
+    text, spans = text or "", []
+    for m in RUN.finditer(text):
         t = m[0].rstrip(".-=" if m[0].endswith((".", "-")) else ".-")
         if len(t) >= 12 and (any(c.isdigit() for c in t) or (len(t) >= 20 and re.search(r"[a-z][A-Z].*[a-z][A-Z]", t))):
-            out.append((m.start(), m.start() + len(t)))
+            spans.append((m.start(), m.start() + len(t)))
+    for m in ANNOUNCED.finditer(text):
+        g = m.lastindex or 4
+        a, b = m.span(g)
+        b -= len(m[g]) - len(m[g].rstrip(".:!?*#" if set(m[g]) - set("*#.:!?") else "")) if g == 4 else 0
+        if b - a >= MIN_VALUE:
+            spans.append((a, b))
+    if "://" in text:
+        spans += [m.span(1) for m in USERINFO.finditer(text) if len(m[1]) >= MIN_VALUE]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(set(spans), key=lambda s: (s[0], -s[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
     return out
 
 
 def scan_texts(texts: list[str | None], forest: Forest) -> list[list[tuple[int, int, float]]]:
     """``(start, end, score)`` of every candidate of each text."""
     places = [candidates(t) for t in texts]
-    flat = [features(texts[i], a, b) for i, p in enumerate(places) for a, b in p]
+    flat = [features(texts[i], a, b, forest.known) for i, p in enumerate(places) for a, b in p]
     score = iter(forest.score(np.asarray(flat)).tolist() if flat else [])
     return [[(a, b, next(score)) for a, b in p] for p in places]
 
 
+def learned(docs: DataFrame) -> Forest:
+    """The forest of the seeded findings, with the dictionary of all texts of ``docs``."""
+    known = frequent_words(docs)
+    return train(labelled_findings(known=known), known)
+
+
 def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, text, findings`` of every row: the text with its secrets replaced, and all candidates with their scores."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
