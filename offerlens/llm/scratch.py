@@ -38,6 +38,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        self.live: dict[str, DataFrame] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a reader of what was written."""
@@ -51,12 +52,22 @@ class Scratch:
             self.spark.conf.set(_BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
+        self.live[path] = out
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
         path = getattr(df, "_scratch_path", None)
         if path:
+            self.live.pop(path, None)
             jvm = self.spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Write an operator's result and delete all other tables of the call: what stays is one table of results."""
+        out = self.save(df)
+        for path, other in list(self.live.items()):
+            if path != out._scratch_path:  # type: ignore[attr-defined]
+                self.drop(other)
+        return out

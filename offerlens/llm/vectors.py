@@ -10,6 +10,8 @@ from .sampling import bounded
 
 #: Rows of the bounded sample that rotations are learned from.
 SAMPLE = 20_000
+#: Bytes of the sample in double precision.
+SAMPLE_BYTES = 64 << 20
 
 
 def usable(column: str) -> Column:
@@ -32,13 +34,11 @@ def widths(vectors: DataFrame) -> list[int]:
     return [r["w"] for r in sorted(rows, key=lambda r: (-r["count"], r["w"]))]
 
 
-def sample(vectors: DataFrame, rows: int = SAMPLE) -> np.ndarray:
-    """Unit vectors of a bounded sample, in double precision."""
-    got = bounded(vectors.select("vec_id", "embedding"), "vec_id", rows).toArrow()
-    if not got.num_rows:
-        return np.zeros((0, 0))
-    x = matrix(got.column("embedding"), len(got.column("embedding")[0]))
-    return unit(x)
+def sample(vectors: DataFrame, width: int, rows: int = SAMPLE) -> np.ndarray:
+    """Unit vectors of a sample of ``(key, embedding)`` rows of one width, in double precision: at most ``rows``, and at most ``SAMPLE_BYTES``."""
+    key, _ = vectors.columns
+    got = bounded(vectors, key, max(1, min(rows, SAMPLE_BYTES // (8 * width)))).toArrow()
+    return unit(matrix(got.column("embedding"), width)) if got.num_rows else np.zeros((0, width))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
