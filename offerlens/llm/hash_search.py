@@ -7,16 +7,20 @@ every shard of the index keeps, for each substring, its rows by byte value. By
 the pigeonhole principle a code within distance ``m (r + 1) - 1`` of the query
 agrees with one of its ``m`` substrings up to ``r`` bits, so probing the buckets
 within ``r`` bits of each retrieves every code within that radius. The radius
-grows until it holds ``ENOUGH`` codes of the shard; those are reranked by the
+grows until it holds one in ``SHARE`` codes of the shard; those are reranked by the
 cosine of the original vectors in double precision.
 
 Every row is indexed. Equal vectors are one entry that keeps its ``k + 1``
-smallest ids, which suffices as ties go to the smaller id.
+smallest ids, which suffices as ties go to the smaller id. Queries go through the
+shards in blocks: a shard's index is built once for ``QUERIES`` of them, and what is
+shuffled is each entry once per block and each query once per shard.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite
-component take no part; a query's own id is no candidate of it; vectors of other
-length are no candidates; fewer rows than ``k`` if there are fewer candidates;
-an empty table gives no rows.
+component take no part, nor do rows with a null id; a query's own id is no candidate
+of it; rows that repeat an id are one query and one candidate, which counts with its
+best score; vectors of other length are no candidates; fewer rows than ``k`` if
+there are fewer candidates; an empty table gives no rows; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from .scratch import Scratch
 from .vectors import matrix, sample, unit, usable, widths
 
 BITS = 256
-#: Codes that a shard's radius must hold, rows of a shard, queries of a block.
-ENOUGH, SHARD, QUERIES = 256, 8192, 2048
+#: Codes that a shard's radius must hold at least, and one in how many; rows of a shard; queries of a block.
+ENOUGH, SHARE, SHARD, QUERIES = 256, 32, 32_768, 16_384
 
 _POP = np.asarray([bin(v).count("1") for v in range(256)], dtype=np.uint8)
 #: Byte values in order of their distance from 0, and how many lie within each distance.
@@ -101,16 +105,22 @@ class Shard:
 
 
 def search(table: DataFrame, k: int = 5, every: int = 50, enough: int = ENOUGH) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row whose id ``every`` divides."""
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row whose id ``every`` divides.
+
+    A shard's radius holds ``enough`` of its codes, and at least one in ``SHARE``.
+    """
     scratch = Scratch(table.sparkSession, "search")
-    rows = table.where(usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), "embedding")
+    rows = table.where(usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     keyed = rows.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding"))
     # the k+1 smallest ids of equal vectors: first by parts, so that no task gathers a frequent vector's ids
     part = Window.partitionBy("h1", "h2", "salt").orderBy("vec_id")
     whole = Window.partitionBy("h1", "h2").orderBy("vec_id")
-    few = keyed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1)
+    few = keyed.select("h1", "h2", "vec_id").distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    few = few.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1)
     few = few.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= k + 1)
-    entries = scratch.save(few.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding")))
+    ids = few.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    vectors = keyed.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"))
+    entries = scratch.save(vectors.join(ids, ["h1", "h2"]).select("ids", "embedding"))
     queries = rows.where(F.col("vec_id") % every == 0)
     found = None
     for width in widths(entries):
@@ -119,12 +129,13 @@ def search(table: DataFrame, k: int = 5, every: int = 50, enough: int = ENOUGH)
     if found is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return scratch.finish(once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
 def _of_width(entries: DataFrame, queries: DataFrame, width: int, k: int, enough: int, scratch: Scratch) -> DataFrame:
     spark = entries.sparkSession
-    turn = rotations(sample(entries.select(F.col("ids")[0].alias("vec_id"), "embedding")))
+    turn = rotations(sample(entries.select(F.col("ids")[0].alias("vec_id"), "embedding"), width))
     shared = spark.sparkContext.broadcast(turn)
     shards, blocks = -(-entries.count() // SHARD), -(-max(queries.count(), 1) // QUERIES)
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
@@ -146,7 +157,7 @@ def _of_width(entries: DataFrame, queries: DataFrame, width: int, k: int, enough
                 continue
             shard, ask = Shard(codes(x[own], turn)), codes(x[asks], turn)
             for i, code in zip(asks, ask, strict=True):
-                at = own[shard.within(code, enough)]
+                at = own[shard.within(code, max(enough, len(own) // SHARE))]
                 score = x[at] @ x[i]
                 edge = np.partition(score, -k - 1)[-k - 1] if len(at) > k + 1 else -np.inf
                 near = score >= edge  # the query's own entry, k others, and ties at the edge until ids decide

@@ -305,6 +305,56 @@ def test_vector_links_are_the_brute_force_ones(spark, monkeypatch, tile):
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_vector_ids_that_repeat_or_are_null(spark, monkeypatch, tile):
+    """Rows that repeat an id are vectors of their own, rows without an id link with nothing; further columns do not matter."""
+    monkeypatch.setattr(vector_dedup, "TILE", tile)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((40, 8))
+    x = np.concatenate([base, base + 0.02 * rng.standard_normal(base.shape), base[:5]])
+    ids = [int(i) for i in rng.integers(0, 30, len(x))]
+    rows = [(i, v.tolist(), 0, 1.0, "c") for i, v in zip(ids, x)] + [(None, x[0].tolist(), None, None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, class int, n double, tile string")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = vector_dedup.forest(*np.nonzero(near), len(u))
+    least = {k: min(i for i, c in zip(ids, label) if c == k) for k in set(label)}
+    want = sorted((i, int(near[k].sum()), least[label[k]], i == least[label[k]]) for k, i in enumerate(ids))
+    got = [tuple(r) for r in vector_dedup.near_vectors(df).collect()]
+    assert sorted(g for g in got if g[0] is not None) == want
+    assert [g for g in got if g[0] is None] == [(None, 0, None, True)] * 2
+
+
+def test_cells_admit_every_linked_pair():
+    """No pair at the threshold is lost to the boxes, and far boxes are left out."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((600, 6)) * [3, 2, 1, 1, 0.5, 0.5]
+    x = np.concatenate([x, x + 0.1 * rng.standard_normal(x.shape)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :4]
+    lead = vector_dedup.lead_of(x, turn)
+    cells = vector_dedup.Cells(x[::3] @ turn, 20)
+    cell = cells.of(lead)
+    assert cells.leaves == 20
+    assert np.bincount(cell, minlength=20).max() <= 4 * len(x) / 20
+    low, high = (np.stack([f(lead[cell == c], axis=0) for c in range(20)]) for f in (np.min, np.max))
+    may = vector_dedup.admits(lead, low, high, 0.95)
+    i, j = np.nonzero(x @ x.T >= 0.95)
+    assert may[i, cell[j]].all()
+    assert may.mean() < 0.5
+    assert vector_dedup.Cells(np.ones((50, 3)), 8).leaves == 1
+
+
+def test_search_ids_that_repeat_or_are_null(spark):
+    rows = [(0, [1.0, 0.0], "a"), (0, [0.9, 0.1], "b"), (1, [0.8, 0.2], None), (2, [0.0, 1.0], None), (None, [1.0, 0.0], None), (3, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, ids string")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in hash_search.search(df).collect())
+    # both rows of id 0 ask, and rows of the query's own id are no candidates
+    assert {g[2] for g in got} == {1, 2}
+    assert got[0] == (0, 1, 1)
+
+
 def test_search_recall_and_order(spark):
     df, x = vectors(spark, np.random.default_rng(8), n=900)
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
