@@ -15,17 +15,23 @@ A group of m near copies never separates in a tree, so first, in nodes of a fixe
 depth, all members are compared with the node's first member only. Trees then
 skip what is one component already: a node is followed only while it holds
 two components, which loses no link between components, and links inside one
-change no result. Candidates are confirmed on full shingle sets, each document
-sent once for each group of comparisons it takes part in.
+change no result. Candidates are confirmed on full shingle sets: the comparisons
+of one document are split into parts, and in a part the document comes first and
+the others stream past it, so a task holds two sets. Texts are fetched by id and
+hash; a Bloom filter keeps what nobody asks for out of that shuffle. Nodes, leaders
+and classes that hold many rows meet their partners by broadcast.
 
 Defined results: null, empty and wordless texts have an empty set, link with
-nothing and are kept; repeated rows share a class; ids that repeat with other
-texts count as one document; an empty table gives no rows; null ids are left out.
+nothing and are kept; repeated rows share a class; rows that repeat an id with
+another text are compared each by its own text, and their component is the smallest
+id reachable from that text; rows without an id link with nothing, have no
+component and are kept; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import cache
 from math import comb
 
@@ -33,10 +39,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import bloom
 from .batches import map_columns, stream_groups
 from .graph import components
 from .scratch import Scratch
 from .shingles import shingle_set
+from .skew import join_hot
 
 #: Minwise tokens, trees, and comparisons for each member up to which a node is compared exhaustively.
 POSITIONS, TREES, SMALL = 128, 10, 128
@@ -52,8 +60,8 @@ SHALLOW, MISS = 5, 0.004
 #: Smallest hashes of a set kept beside the signature. A set of no more is there whole, so its similarities are exact;
 #: for others the estimate may fall short of 0.75 by four standard errors.
 LOWEST, EXACT_AT, GUESS_AT = 256, 0.749, 0.64
-#: Members that one comparison task of a leader takes.
-CHUNK = 32
+#: Comparisons with one document that go through one group.
+CHUNK = 4096
 #: Ids whose set is broadcast at most; above, the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -79,9 +87,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, print`` (128-bit print of the set), ``sig`` and ``low``; the last three are null for empty sets."""
+    """``doc_id, h`` (hash of the text), ``n_shingles, print`` (128-bit print of the set), ``sig`` and ``low``; the last three are null for empty sets."""
 
-    def run(doc_id: list, text: list) -> dict:
+    def run(doc_id: list, h: list, text: list) -> dict:
         sets = [shingle_set(t) for t in text]
         full = [i for i, s in enumerate(sets) if len(s)]
         sig: list = [None] * len(sets)
@@ -91,10 +99,13 @@ def sketch(docs: DataFrame) -> DataFrame:
             sig[i] = row
             low[i] = (sets[i][:LOWEST] >> np.uint64(32)).astype("<u4").tobytes()
             mark[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-        return {"doc_id": doc_id, "n_shingles": [len(s) for s in sets], "print": mark, "sig": sig, "low": low}
+        return {"doc_id": doc_id, "h": h, "n_shingles": [len(s) for s in sets], "print": mark, "sig": sig, "low": low}
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return map_columns(rows, "doc_id long, n_shingles long, print binary, sig array<int>, low binary", run)
+    return map_columns(_keyed(docs), "doc_id long, h long, n_shingles long, print binary, sig array<int>, low binary", run)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
 
 
 def may_be_near(a: np.ndarray, b: np.ndarray) -> bool:
@@ -118,36 +129,39 @@ def near_enough(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs ``(u, v)`` whose full sets are near enough."""
+def confirm(pairs: DataFrame, places: DataFrame, docs: DataFrame, once: bool, scratch: Scratch) -> DataFrame:
+    """The pairs ``(u, v)`` whose full sets are near enough; ``places`` has the id and text hash of the row that stands for each class.
+
+    ``once``: no two rows of ``docs`` have the same id.
+    """
     pairs = scratch.save(pairs.distinct())
-    degree = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
-    split = pairs.join(degree, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.ceil(F.col("degree") / CHUNK)))
+    n = pairs.count()
+    degree = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / CHUNK)
+    split = join_hot(pairs, degree, ["u"], counts=degree, rows=n).withColumn("part", F.pmod(F.xxhash64("v"), parts))
     split = scratch.save(split.select("u", "part", "v"))
-    asked = split.select("u", "part", F.col("v").alias("doc_id")).unionByName(split.select("u", "part", F.col("u").alias("doc_id")).distinct())
-    ids = asked.select("doc_id").distinct()
-    small = split.select("v").distinct().count() + split.select("u").distinct().count() <= BROADCAST_IDS
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").join(
-        F.broadcast(ids) if small else ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    sent = asked.join(texts, "doc_id")
-
-    def run(starts: np.ndarray, u: pa.ChunkedArray, doc_id: pa.ChunkedArray, text: pa.ChunkedArray, **_: pa.ChunkedArray) -> dict:
-        first, second = [], []
-        lead, who = u.to_pylist(), doc_id.to_pylist()
-        for a, b in zip(starts, [*starts[1:], len(lead)], strict=True):
-            at = next((i for i in range(a, b) if who[i] == lead[i]), None)
-            if at is None:
-                continue
-            mine = shingle_set(text[at].as_py())
-            for i in range(a, b):
-                if who[i] != lead[a] and near_enough(mine, shingle_set(text[i].as_py())):
-                    first.append(lead[a])
-                    second.append(who[i])
-        return {"u": first, "v": second}
-
-    found = scratch.save(stream_groups(sent, ["u", "part"], "u long, v long", run))
-    scratch.drop(split)
-    scratch.drop(pairs)
+    asked = split.select("u", "part", F.col("v").alias("id"), F.lit(1).alias("turn")).unionByName(
+        split.select("u", "part", F.col("u").alias("id"), F.lit(0).alias("turn")).distinct())
+    ids = scratch.save(asked.select("id").distinct().join(places, "id"))
+    texts = bloom.semi_join(_keyed(docs), ids, ["doc_id", "h"], ids.count(), BROADCAST_IDS).select("id", "text")
+    texts = texts if once else texts.dropDuplicates(["id"])
+    sent = asked.join(texts, "id").repartition("u", "part").sortWithinPartitions("u", "part", "turn").select("u", "part", "turn", "id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, mine = None, np.zeros(0, dtype=np.uint64)
+        for b in batches:
+            u, part, turn, who = (b.column(k).to_pylist() for k in range(4))
+            text, found = b.column(4), []
+            for i in range(b.num_rows):
+                if turn[i] == 0:
+                    group, mine = (u[i], part[i]), shingle_set(text[i].as_py())
+                elif (u[i], part[i]) == group and near_enough(mine, shingle_set(text[i].as_py())):
+                    found.append((u[i], who[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    found = scratch.save(sent.mapInArrow(run, "u long, v long"))
+    for t in (split, pairs, ids):
+        scratch.drop(t)
     return found
 
 
@@ -155,12 +169,14 @@ def _token(sig: Column, at: Column) -> Column:
     return F.element_at(sig, (at + 1).cast("int"))
 
 
-def leaders(reps: DataFrame) -> DataFrame:
+def leaders(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """``(first member, other member)`` of every node at the fixed depth."""
     nodes = [F.xxhash64(F.lit(b), *(F.col("sig")[(b * LEADER_DEPTH + k) % POSITIONS] for k in range(LEADER_DEPTH))) for b in range(LEADER_NODES)]
     rows = reps.select("id", F.explode(F.array(*nodes)).alias("node"))
-    first = rows.groupBy("node").agg(F.min("id").alias("u"), F.max("id").alias("last")).where("u < last").select("node", "u")
-    return rows.join(first, "node").where("u < id").select("u", F.col("id").alias("v"))
+    first = rows.groupBy("node").agg(F.min("id").alias("u"), F.max("id").alias("last"), F.count(F.lit(1)).alias("_n")).where("u < last")
+    first = scratch.save(first.select("node", "u", "_n"))
+    met = join_hot(rows, first.select("node", "u"), ["node"], counts=first.select("node", "_n"), rows=reps.count() * LEADER_NODES)
+    return met.where("u < id").select("u", F.col("id").alias("v"))
 
 
 def branch(rows: DataFrame) -> DataFrame:
@@ -192,19 +208,23 @@ def node_pairs(rows: DataFrame) -> DataFrame:
     return stream_groups(rows, ["node", "part"], "u long, v long", run).distinct()
 
 
-def settle(rows: DataFrame) -> DataFrame:
+def settle(rows: DataFrame, last: bool, scratch: Scratch) -> DataFrame:
     """``(node, id, comp, part, done)`` of the nodes that hold two components; ``done`` ones are to be compared now.
 
     A done node is large only if nearly all of it is one component. That one is
-    dealt in slices, and each slice meets all the others, who are few.
+    dealt in slices, and each slice meets all the others, who are few. ``last``:
+    what is not done is compared too, each slice with each.
     """
     sizes = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
     nodes = sizes.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"))
     nodes = nodes.where("k > 1").select("node", "n", F.col("top.comp").alias("top"), ((F.col("n") * F.col("n") - F.col("same")) <= 2 * SMALL * F.col("n")).alias("done"))
-    slices = F.when(F.col("done"), F.ceil(F.col("n") / SLICE)).otherwise(F.lit(1))
-    mine = F.array(F.pmod(F.xxhash64("id"), F.col("slices")))
-    part = F.when(F.col("comp") == F.col("top"), mine).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
-    return rows.join(nodes, "node").withColumn("slices", slices.cast("long")).select("node", "id", "comp", "done", F.explode(part).alias("part"))
+    nodes = scratch.save(nodes.withColumn("slices", F.when(F.col("done") | F.lit(last), F.ceil(F.col("n") / SLICE)).otherwise(F.lit(1)).cast("long")))
+    own = F.pmod(F.xxhash64("id"), F.col("slices"))
+    each = F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)
+    every = F.transform(each, lambda s: F.least(s, own) * F.col("slices") + F.greatest(s, own))
+    part = F.when(~F.col("done") & F.lit(last), every).when(F.col("comp") == F.col("top"), F.array(own)).otherwise(each)
+    met = join_hot(rows, nodes.drop("n"), ["node"], counts=nodes.select("node", F.col("n").alias("_n")), rows=rows.count())
+    return met.select("node", "id", "comp", "done", F.explode(part).alias("part"))
 
 
 def lost(depth: int, agree: float) -> float:
@@ -237,7 +257,7 @@ def tree_pairs(reps: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame
         grown, crowded = wanted, None
         for depth in range(1, MAX_DEPTH + 1):
             rows = scratch.save(rows)
-            live = scratch.save(settle(rows))
+            live = scratch.save(settle(rows, depth == MAX_DEPTH, scratch))
             scratch.drop(rows)
             now, later = (live, live.limit(0)) if depth == MAX_DEPTH else (live.where("done"), live.where("not done"))
             got = scratch.save(node_pairs(now.join(start.select("id", "sig", "low"), "id").select("node", "part", "id", "comp", "sig", "low")))
@@ -255,24 +275,35 @@ def tree_pairs(reps: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    """``doc_id, n_shingles, component_id, kept`` of every row; ``text_hash`` is the text's, and ``first`` marks the rows of
+    each component that have its smallest id and, of these, its smallest text hash: one row, unless rows repeat.
+    """
     scratch = Scratch(docs.sparkSession, "near")
     sets = scratch.save(sketch(docs))
-    full = sets.where("print is not null")
-    classes = full.groupBy("print").agg(F.min("doc_id").alias("id"))
-    member = sets.select("doc_id", "n_shingles", "print").join(classes, "print", "left").select("doc_id", "n_shingles", "id")
-    member = scratch.save(member)
-    reps = scratch.save(full.join(member.where("doc_id = id").select("doc_id").distinct(), "doc_id", "left_semi")
-                        .select(F.col("doc_id").alias("id"), "sig", "low").dropDuplicates(["id"]))
+    full = sets.where("print is not null and doc_id is not null")
+    once = full.groupBy("doc_id").count().where("count > 1").isEmpty()
+    classes = full.groupBy("print").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count(F.lit(1)).alias("_n"))
+    classes = scratch.save(classes.select("print", "_n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), F.monotonically_increasing_id().alias("id")))
+    places = classes.select("id", "doc_id", "h")
+    # rows that stand for classes; two texts with one hash are told apart by their sets' prints
+    reps = full.join(classes.select("doc_id", "h", "id", F.col("print").alias("own")), ["doc_id", "h"]).where("print = own").select("id", "sig", "low")
+    reps = scratch.save(reps if once else reps.dropDuplicates(["id"]))
+    flat = scratch.save(sets.select("doc_id", "h", "n_shingles", "print"))
     scratch.drop(sets)
-    starred = confirm(leaders(reps), docs, scratch)
+    starred = confirm(leaders(reps, scratch), places, docs, once, scratch)
     comps = components(starred, scratch)
-    more = confirm(tree_pairs(reps, comps, scratch), docs, scratch)
+    more = confirm(tree_pairs(reps, comps, scratch), places, docs, once, scratch)
     at = lambda side: comps.select(F.col("id").alias(side), F.col("component").alias(side + "_comp"))
     met = more.join(at("u"), "u", "left").join(at("v"), "v", "left").select(
         F.coalesce("u_comp", "u").alias("u"), F.coalesce("v_comp", "v").alias("v"))
     joined = components(met, scratch).select(F.col("id").alias("component"), F.col("component").alias("wider"))
-    final = reps.select("id").join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    final = final.join(joined, "component", "left").select("id", F.coalesce("wider", "component").alias("component"))
-    out = member.join(final, "id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    final = classes.select("print", "id", F.struct("doc_id", "h").alias("lead"), "_n").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    final = scratch.save(join_hot(final, joined, ["component"], "left").withColumn("component", F.coalesce("wider", "component")).drop("wider"))
+    least = final.groupBy("component").agg(F.min("lead").alias("least"))
+    final = scratch.save(join_hot(final, least, ["component"]).select("print", "least", "_n"))
+    found = flat.where("print is not null and doc_id is not null")
+    linked = join_hot(found, final.select("print", "least"), ["print"], counts=final.select("print", "_n"), rows=found.count())
+    linked = linked.withColumn("component_id", F.col("least.doc_id")).withColumn("first", F.struct("doc_id", "h") == F.col("least"))
+    alone = flat.where("print is null or doc_id is null").withColumn("component_id", F.col("doc_id")).withColumn("first", F.lit(True))
+    columns = ["doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("h").alias("text_hash"), "first"]
+    return scratch.finish(linked.select(*columns).unionByName(alone.select(*columns)))

@@ -202,4 +202,4 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID, r
         return kept | {"length": size, "sequence_id": where["base"][at] + rank - where["from"][at], "offset": where["offset"][at]}
 
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("r").cast("long").alias("r"))
-    return map_columns(ranked, PIECES + ", sequence_id long, offset long", place, rows=100_000)
+    return scratch.finish(map_columns(ranked, PIECES + ", sequence_id long, offset long", place, rows=100_000))

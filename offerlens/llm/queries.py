@@ -65,7 +65,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_trees.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash_trees.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

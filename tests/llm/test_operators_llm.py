@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from offerlens.llm import (batches, feistel, graph, hash_search, language_ppm, minhash_trees, packing, pieces, quality_mil, queries,
-                           sampling, secret_forest, toxicity_ordinal, vector_dedup)
+from offerlens.llm import (batches, bloom, feistel, graph, hash_search, language_ppm, minhash_trees, packing, pieces, quality_mil, queries,
+                           sampling, secret_forest, skew, toxicity_ordinal, vector_dedup)
 from offerlens.llm.scratch import Scratch
 from offerlens.llm.shingles import shingle_set
 from tests_llm_helpers import brute_components
@@ -249,7 +249,7 @@ def test_near_duplicates_odd_input(spark):
     by = {}
     for r in rows:
         by.setdefault(r["doc_id"], []).append(r)
-    assert None not in by
+    assert [(r["n_shingles"], r["component_id"], r["kept"]) for r in by[None]] == [(1, None, True)]
     assert all(r["n_shingles"] == 0 and r["kept"] for i in (0, 1, 2) for r in by[i])
     assert {r["component_id"] for i in (4, 5) for r in by[i]} == {4}
     assert len(by[4]) == 2
@@ -257,6 +257,57 @@ def test_near_duplicates_odd_input(spark):
     assert minhash_trees.near_duplicates(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_ids_that_repeat(spark):
+    """Each row of a repeated id is compared by its own text."""
+    rng = random.Random(8)
+    a, b = words(rng, 60, high=5000), words(rng, 60, high=5000)
+    rows = [(7, a), (7, b), (7, b), (3, b + " end"), (9, a + " end"), (5, "other words of its own here"), (None, a), (None, b)]
+    for order in (rows, rows[::-1]):
+        got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_trees.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect() if r["doc_id"] is not None)
+        assert got == [(3, 3, True), (5, 5, True), (7, 3, False), (7, 3, False), (7, 7, True), (9, 7, False)]
+        first = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in minhash_trees.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect() if r["first"])
+        assert first == [(0, 0), (0, 0), (3, 3), (5, 5), (7, 7)]
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_near_duplicates_with_hot_keys_and_without_broadcast(spark, monkeypatch, hot):
+    """Groups beyond every bound: hot nodes, leaders and classes, texts behind the Bloom filter, slices of slices."""
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    monkeypatch.setattr(skew, "SHARE", 10**9)
+    monkeypatch.setattr(minhash_trees, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(minhash_trees, "CHUNK", 5)
+    monkeypatch.setattr(minhash_trees, "SLICE", 4)
+    monkeypatch.setattr(minhash_trees, "SMALL", 1)
+    monkeypatch.setattr(minhash_trees, "MAX_DEPTH", 6)
+    docs = near_docs(random.Random(5), groups=5, size=20)
+    docs += [(1000 + i, docs[0][1]) for i in range(40)]
+    want, _ = brute_components(docs)
+    got = minhash_trees.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_bloom_filter_holds_every_key(spark):
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
+    rows = spark.range(20000).withColumnRenamed("id", "k")
+    passed = {r["k"] for r in rows.where(bloom.may_hold(keys, "k", 1000)).collect()}
+    assert passed >= set(range(0, 3000, 3))
+    assert len(passed) < 1000 + 0.1 * 19000
+    assert bloom.may_hold(keys, "k", bloom.MAX_BITS) is None
+    nulls = rows.unionByName(spark.createDataFrame([(None,)], "k long"))
+    for small in (0, 10**6):
+        assert bloom.semi_join(nulls, keys, ["k"], 1000, small).count() == 1000
+        assert bloom.anti_join(nulls, keys, ["k"], 1000, small).count() == 19001
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    left = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 9 + [2] * 2 + [3, None, None] + [4] * 5)], "k long, i long")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (4, None), (5, "e")], "k long, v string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, "k", how).collect()))
+        assert sorted(map(str, skew.join_hot(left, right, ["k"], how).collect())) == want
+
+
 def test_shingles():
     assert len(shingle_set("a b c d e f")) == 2
     assert len(shingle_set("A b\x0bc")) == 1
