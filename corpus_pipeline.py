@@ -2,12 +2,15 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows it is given;
 all but the last return the columns of documents. Texts stay in place: stages
-that drop or rewrite rows do so in a scan, and duplicates are removed by a join
-that ships only ids.
+that drop or rewrite rows do so in a scan. Duplicates are removed by a join with the
+ids to remove, broadcast while they are few; beyond that a Bloom filter keeps the
+texts that none of them can be out of the shuffle, as long as a filter of bounded
+size can, and then the join shuffles.
 
 Defined results: null texts are letterless and go with the language stage, as do
-empty ones; rows without an id are never duplicates and stay; repeated rows
-leave one; further columns pass through; an empty table gives no rows.
+empty ones; rows without an id are never duplicates and stay; rows that repeat an id
+with an unlike text stay both; equal rows leave one; further columns pass through; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from offerlens.llm import batches, minhash_trees, packing, queries, secret_forest
+from offerlens.llm import batches, bloom, minhash_trees, packing, queries, secret_forest
 from offerlens.llm.scratch import Scratch
 
 KEEP_QUALITY, KEEP_LANGUAGE = 0.3, 0.5
@@ -42,24 +45,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id, and of equal rows one."""
     scratch = Scratch(spark, "pipeline")
-    gone = scratch.save(minhash_trees.near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    small = gone.count() <= minhash_trees.BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if small else gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    again = scratch.save(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return left
-    few = again.count() <= minhash_trees.BROADCAST_IDS
-    other = F.broadcast(again) if few else again
-    n = next(c for k in range(len(docs.columns) + 1) if (c := f"_n{k}") not in docs.columns)
-    first = left.join(other, "doc_id", "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(n) == 1)
-    return left.join(other, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+    found = scratch.save(minhash_trees.near_duplicates(docs).select("doc_id", "text_hash", "first"))
+    doc_id, text_hash, n = (next(c for k in range(len(docs.columns) + 1) if (c := f"_{name}{k}") not in docs.columns) for name in ("id", "hash", "n"))
+    keys = [F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash)]
+    gone = scratch.save(found.where("not first").select(*keys).distinct())
+    again = scratch.save(found.where("first and doc_id is not null").groupBy(*keys).count().where("count > 1").select(doc_id, text_hash))
+    marked = docs.withColumns({doc_id: F.col("doc_id").cast("long"), text_hash: F.xxhash64("text")})
+    left = bloom.anti_join(marked, gone, [doc_id, text_hash], gone.count(), minhash_trees.BROADCAST_IDS)
+    size = again.count()
+    if not size:
+        return left.select(*docs.columns)
+    # rows that repeat: of each such row one stays, by its other columns' order
+    order = [F.col(c) for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
+    few = bloom.semi_join(left, again, [doc_id, text_hash], size, minhash_trees.BROADCAST_IDS)
+    one = few.withColumn(n, F.row_number().over(Window.partitionBy(doc_id, text_hash).orderBy(*order))).where(F.col(n) == 1)
+    rest = bloom.anti_join(left, again, [doc_id, text_hash], size, minhash_trees.BROADCAST_IDS)
+    return rest.select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced."""
-    forest = spark.sparkContext.broadcast(secret_forest.train(secret_forest.labelled_findings()))
+    forest = spark.sparkContext.broadcast(secret_forest.learned(docs))
 
     def clean(texts: list) -> tuple[list[bool], list]:
         out = []
