@@ -100,4 +100,23 @@ QUERIES: dict[str, Query] = {
     "op10_nearest": op10_nearest,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: What the queries without models or tokenizers compute, said directly: all pairs that share a shingle, all pairs of vectors.
+#: ``op10`` has none: its score is not rounded, and engines differ in the last digit of a cosine.
+ORACLE_SQL: dict[str, str] = {
+    "op7_near_duplicates": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END, ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+class AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY md5s) AS class FROM (SELECT doc_id, count(*) AS n, md5(string_agg(s, '' ORDER BY s)) AS md5s FROM s GROUP BY 1)),
+c AS (SELECT s.doc_id, s.s FROM s JOIN class ON class.doc_id = s.doc_id AND class.class = s.doc_id),
+edges AS (SELECT a.doc_id AS u, b.doc_id AS v FROM c a JOIN c b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN size x ON x.doc_id = a.doc_id JOIN size y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach(id, least) AS (SELECT DISTINCT class, class FROM class UNION SELECT e.v, r.least FROM reach r JOIN edges e ON e.u = r.id WHERE r.least < e.v),
+found AS (SELECT id, min(least) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(class.n, 0) AS n_shingles, coalesce(found.component_id, d.doc_id) AS component_id, coalesce(found.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN class ON class.doc_id = d.doc_id LEFT JOIN found ON found.id = class.class""",
+    "op4_vector_dedup": """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), ok AS (SELECT vec_id, x FROM e WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+reach(id, least) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.v, r.least FROM reach r JOIN links l ON l.u = r.id WHERE r.least < l.v),
+found AS (SELECT id, min(least) AS component_id FROM reach GROUP BY 1), n AS (SELECT u, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, found.component_id, found.component_id = e.vec_id AS kept FROM e JOIN found ON found.id = e.vec_id LEFT JOIN n ON n.u = e.vec_id""",
+}

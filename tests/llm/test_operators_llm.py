@@ -308,6 +308,20 @@ def test_hot_keys_join_like_others(spark, monkeypatch):
         assert sorted(map(str, skew.join_hot(left, right, ["k"], how).collect())) == want
 
 
+@pytest.mark.parametrize(("name", "tables"), [("op4_vector_dedup", ["embeddings"]), ("op7_near_duplicates", ["documents"])])
+def test_queries_give_the_rows_of_their_sql(spark, sf, name, tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want.fetchall())
+
+
 def test_shingles():
     assert len(shingle_set("a b c d e f")) == 2
     assert len(shingle_set("A b\x0bc")) == 1
