@@ -113,11 +113,11 @@ def normalize_price(
 
 def with_normalized_price(rows: DataFrame, amount: str, text: Column, out: str, vat_included: Column | None = None, price_basis: str = "auto", default_vat_included: bool = True) -> DataFrame:
     """The same as a column of ``rows``, in steps that generated code runs: the choice for large tables."""
-    t, parts, q, pack, x = (F.col(f"_{out}{i}") for i in range(5))
-    steps = [F.coalesce(text, F.lit("")), _pack_parts(F.regexp_replace(t, UNIT_PRICE, " ")), _pack_ml(F.regexp_replace(t, UNIT_PRICE, " "), parts), _pack(t, q), _terms(t, pack, vat_included, price_basis, default_vat_included)]
+    t, clean, parts, q, pack, x = (F.col(f"_{out}{i}") for i in range(6))
+    steps = [F.coalesce(text, F.lit("")), F.regexp_replace(t, UNIT_PRICE, " "), _pack_parts(clean), _pack_ml(clean, parts), _pack(t, q), _terms(t, pack, vat_included, price_basis, default_vat_included)]
     for i, step in enumerate(steps):
         rows = rows.withColumn(f"_{out}{i}", step)
-    return rows.withColumn(out, _price(F.col(amount), pack, x)).drop(*(f"_{out}{i}" for i in range(5)))
+    return rows.withColumn(out, _price(F.col(amount), pack, x)).drop(*(f"_{out}{i}" for i in range(6)))
 
 
 def _terms(t: Column, pack: Column, vat_included: Column | None, price_basis: str, default_vat_included: bool) -> Column:

@@ -23,24 +23,40 @@ PERCENT = r"(?i)\d+(?:[.,]\d+)?\s*(?:%|vol\.?)"
 SHORT_PARENTHESES = r"\(\s*[^\s)]+(?:\s+[^\s)]+)?\s*\)"
 
 
-def _fold_pairs() -> tuple[str, str]:
-    """Latin letters that decompose to one ASCII letter and marks, and that letter."""
-    src, dst = [], []
-    for code in range(0xC0, 0x250):
-        parts = unicodedata.normalize("NFKD", chr(code))
-        base = "".join(c for c in parts if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii() and base != chr(code):
-            src.append(chr(code))
-            dst.append(base)
-    return "".join(src), "".join(dst)
+#: Blocks whose characters may decompose to ASCII: Latin letters with marks, superscripts, letter-like signs, ligatures, full-width forms.
+FOLD_BLOCKS = ((0xA0, 0x250), (0x1D00, 0x1F00), (0x2070, 0x20A0), (0x2100, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
 
 
-FOLD_FROM, FOLD_TO = _fold_pairs()
+def _fold_pairs() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one ASCII character and marks, and that character; and those that decompose to several."""
+    src, dst, several = [], [], {}
+    for low, high in FOLD_BLOCKS:
+        for code in range(low, high):
+            parts = unicodedata.normalize("NFKD", chr(code))
+            base = "".join(c for c in parts if not unicodedata.combining(c))
+            if base == chr(code) or not base.isascii() or not base.strip():
+                continue
+            if len(base) == 1:
+                src.append(chr(code))
+                dst.append(base)
+            elif base.isalpha():
+                several[chr(code)] = base
+    return "".join(src), "".join(dst), several
+
+
+FOLD_FROM, FOLD_TO, FOLD_MANY = _fold_pairs()
 
 
 def strip_accents(text: Column) -> Column:
     """Letters without marks, and ``ss`` for sharp s; loose combining marks go too."""
-    return F.regexp_replace(F.translate(F.replace(text, F.lit("ß"), F.lit("ss")), FOLD_FROM, FOLD_TO), r"\p{Mn}+", "")
+    def spelt(t: Column) -> Column:
+        out = t
+        for sign, letters in FOLD_MANY.items():
+            out = F.replace(out, F.lit(sign), F.lit(letters))
+        return F.when(t.rlike("[" + "".join(FOLD_MANY) + "]"), out).otherwise(t)  # rare: most texts skip the replacements
+
+    plain = F.translate(F.replace(text, F.lit("ß"), F.lit("ss")), FOLD_FROM, FOLD_TO)
+    return F.regexp_replace(let(plain, spelt), r"\p{Mn}+", "")
 
 
 def fold(text: Column) -> Column:
@@ -160,13 +176,13 @@ def wine_style(name: Column, type_id: Column | None = None, v: Vocabulary = WINE
     return let(F.struct(fold(F.coalesce(name, F.lit(""))).alias("t"), tokenize(name, v).alias("tokens")), decide)
 
 
-def country(name: Column, region: Column | None = None, by_region: dict[str, str] | None = None) -> Column:
+def country(name: Column, region: Column | None = None, by_region: dict[str, str] = vocab.COUNTRY_BY_REGION) -> Column:
     """Country that a name states, else the one that a region implies, else ""."""
     texts = F.struct(fold(F.coalesce(name, F.lit(""))).alias("n"), fold(F.coalesce(region, F.lit("")) if region is not None else F.lit("")).alias("r"))
 
     def decide(t: Column) -> Column:
         named = [F.when(t["n"].rlike(any_word([w], "a-z")), label) for w, label in vocab.COUNTRY_LABELS.items()]
-        implied = [F.when(t["r"].contains(w), label) for w, label in (by_region or {}).items()]
+        implied = [F.when(t["r"].contains(w), label) for w, label in by_region.items()]
         return F.coalesce(*named, *implied, F.lit(""))
 
     return let(texts, decide)
@@ -211,9 +227,27 @@ def search_url(base: str, query: Column) -> Column:
     return F.concat(F.lit(base), F.url_encode(query))
 
 
+def positive_number(text: Column) -> Column:
+    """A number in a text, with comma or point and apostrophes; null if there is none or it is not above zero."""
+    value = F.regexp_replace(F.regexp_replace(F.trim(text.cast("string")), "['’]", ""), ",", ".").try_cast("double")
+    return F.when((value > 0) & (value < float("inf")), value)
+
+
+def whole_number(text: Column) -> Column:
+    """The whole part of a number in a text; null if there is none."""
+    value = text.cast("string").try_cast("double")
+    return F.when(F.abs(value) < 2.0**31, value.cast("int"))
+
+
+def year(text: Column) -> Column:
+    """A year of four digits; ``N.V.``, ``0`` and the like are null."""
+    t = F.trim(text.cast("string"))
+    return F.when(t.rlike(r"^(?:19|20)\d{2}$"), t.try_cast("int"))
+
+
 def format_number(x: Column) -> Column:
-    """Two places without trailing zeros or point."""
-    return F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", "")
+    """Two places without trailing zeros or point; null for null."""
+    return F.when(x.isNotNull(), F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", ""))
 
 
 def format_chf(x: Column) -> Column:

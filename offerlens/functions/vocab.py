@@ -50,10 +50,12 @@ puglia apulien umbria umbrien abruzzo marche lazio campania sardegna sardinien t
 liguria emilia romagna molise basilicata calabria bolgheri maremma chianti montalcino montepulciano valpolicella soave prosecco
 asti langhe roero monferrato gavi bordeaux bourgogne burgund burgundy rhone loire alsace elsass champagne provence languedoc
 roussillon beaujolais chablis medoc graves sauternes pomerol saint emilion margaux pauillac julien estephe rioja ribera duero
-priorat navarra rueda penedes toro douro alentejo dao vinho verde mosel rheingau pfalz rheinhessen baden franken nahe wachau
-burgenland valais wallis vaud waadt geneve genf ticino tessin neuchatel aargau zurich schaffhausen thurgau illes balears baleares
-mallorca valdobbiadene conegliano treviso verona etna colli salento manduria primitivo mendoza maipo barossa marlborough
-stellenbosch napa sonoma""".split()
+priorat navarra rueda penedes
+somontano toro jumilla carinena valencia mancha douro alentejo dao vinho verde mosel rheingau pfalz rheinhessen baden franken nahe wachau
+burgenland wagram kamptal kremstal steiermark valais wallis vaud waadt geneve genf ticino tessin neuchatel bundner herrschaft graubunden aargau zurich schaffhausen thurgau illes balears baleares
+mallorca katalonien catalunya valdobbiadene conegliano treviso verona etna vesuvio colli castelli romani salento manduria primitivo salice
+mendoza maipo colchagua casablanca rapel barossa coonawarra mclaren hunter marlborough stellenbosch paarl napa sonoma paso
+robles willamette""".split()
 COMPOUND_COLOURS = {
     "rose": ["rosewein", "vin rose", "vino rosado", "rose wine"],
     "weiss": ["weisswein", "vin blanc", "vino blanco", "vinho branco", "white wine"],
@@ -73,6 +75,23 @@ COUNTRY_LABELS = {
     "neuseeland": "Neuseeland", "zelande": "Neuseeland", "griechenland": "Griechenland", "grece": "Griechenland", "ungarn": "Ungarn",
     "hongrie": "Ungarn",
 }
+COUNTRY_BY_REGION = {
+    "bordeaux": "Frankreich", "burgund": "Frankreich", "beaujolais": "Frankreich", "chablis": "Frankreich", "cote": "Frankreich",
+    "elsass": "Frankreich", "languedoc": "Frankreich", "provence": "Frankreich", "rhone": "Frankreich", "loire": "Frankreich",
+    "champagne": "Frankreich", "roussillon": "Frankreich", "sudwest": "Frankreich", "toskana": "Italien", "piemont": "Italien",
+    "venetien": "Italien", "friaul": "Italien", "sudtirol": "Italien", "suditalien": "Italien", "sizilien": "Italien",
+    "sardinien": "Italien", "umbrien": "Italien", "marken": "Italien", "abruzzen": "Italien", "lombardei": "Italien",
+    "trentino": "Italien", "rioja": "Spanien", "ribera": "Spanien", "katalonien": "Spanien", "galicien": "Spanien",
+    "priorat": "Spanien", "navarra": "Spanien", "duero": "Spanien", "spanien": "Spanien", "douro": "Portugal",
+    "portugal": "Portugal", "alentejo": "Portugal", "wallis": "Schweiz", "waadt": "Schweiz", "genf": "Schweiz", "tessin": "Schweiz",
+    "deutschschweiz": "Schweiz", "neuenburg": "Schweiz", "buendner": "Schweiz", "bundner": "Schweiz", "graubunden": "Schweiz",
+    "ahr": "Deutschland", "baden": "Deutschland", "pfalz": "Deutschland", "mosel": "Deutschland", "rheingau": "Deutschland",
+    "rheinhessen": "Deutschland", "franken": "Deutschland", "nahe": "Deutschland", "wurttemberg": "Deutschland",
+    "burgenland": "Österreich", "wachau": "Österreich", "kamptal": "Österreich", "steiermark": "Österreich",
+    "niederosterreich": "Österreich", "kremstal": "Österreich", "osterreich": "Österreich", "chile": "Chile",
+    "argentinien": "Argentinien", "australien": "Australien", "neuseeland": "Neuseeland", "sudafrika": "Südafrika",
+    "kalifornien": "USA", "oregon": "USA", "washington": "USA", "griechenland": "Griechenland", "ungarn": "Ungarn",
+}
 STYLE_WORDS = {
     "champagner": ["champagne", "champagner", "dom perignon", "krug", "ruinart", "bollinger", "veuve clicquot", "taittinger", "pol roger",
                    "billecart", "deutz", "gosset", "laurent-perrier", "laurent perrier", "moet", "perrier-jouet", "perrier jouet",
