@@ -6,6 +6,9 @@ ties go to the smaller seller and then the smaller name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CONFIDENCE = ("low", "medium", "high")
@@ -24,19 +27,45 @@ def dedupe_offers(offers: DataFrame, name: str = "name", order: str = "position"
     """One offer per name and vintage within a source.
 
     Going through a source in its order, a low-confidence incumbent yields to a
-    challenger that is not low, else the cheaper one stays even if it is low. As
-    a fold over an array ordered by position; a group is one product of one shop.
+    challenger that is not low, else the cheaper one stays even if it is low. That
+    depends on the whole order, so rows are dealt by product and sorted there, and
+    each product is folded as a stream that holds one offer. Offers at one place go
+    by price, confidence, then their other columns.
     """
-    key = [F.lower(F.trim(F.col(name))).alias("_name"), F.col("vintage").alias("_vintage")]
-    group_cols = [F.col("source").alias("_source"), *key]
-    row = F.struct(F.col(order).alias("_o"), *(F.col(c) for c in offers.columns if c != order))
-    groups = offers.groupBy(*group_cols).agg(F.collect_list(row).alias("rows"))
-    by_position = lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)
-    groups = groups.withColumn("rows", F.array_sort("rows", by_position))
-    price = lambda r: F.coalesce(F.nullif(r["price"], F.lit(0.0)), F.lit(9e9))
-    wins = lambda old, new: ((old["confidence"] == "low") & (new["confidence"] != "low")) | (price(new) < price(old))
-    kept = F.aggregate(F.slice(F.col("rows"), F.lit(2), F.size("rows")), F.col("rows")[0], lambda old, new: F.when(wins(old, new), new).otherwise(old))
-    return groups.select(kept.alias("k")).select(F.col("k._o").alias(order), *(F.col("k")[c].alias(c) for c in offers.columns if c != order)).select(*offers.columns)
+    keys = ["_source", "_name", "_vintage"]
+    first = [order, "price", "confidence"]
+    ties = [c for c, t in offers.dtypes if c not in first and "map<" not in t and t != "variant"]
+    keyed = offers.withColumns({"_source": F.col("source"), "_name": F.lower(F.trim(F.col(name))), "_vintage": F.col("vintage")})
+    dealt = keyed.repartition(*keys).sortWithinPartitions(*keys, *first, *ties)
+    schema, columns = offers.schema, offers.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None  # the product that is read, and its kept offer: a batch of one row
+        for b in batches:
+            names = b.schema.names
+            column = lambda c, b=b, names=names: b.column(names.index(c)).to_pylist()
+            low = [c == "low" for c in column("confidence")]
+            cost = [p or 9e9 for p in column("price")]
+            done, kept = [], None  # places of offers that stay; the incumbent's place, None while it is the held one
+            for i, key in enumerate(zip(*(column(k) for k in keys), strict=True)):
+                if key != at:
+                    if kept is not None:
+                        done.append(kept)
+                    elif held is not None:
+                        yield held
+                    at, held, kept = key, None, i
+                    state = (low[i], cost[i])
+                elif (state[0] and not low[i]) or cost[i] < state[1]:
+                    held, kept, state = None, i, (low[i], cost[i])
+            rows = b.select(columns)
+            if done:
+                yield rows.take(pa.array(done))
+            if kept is not None:
+                held = rows.take(pa.array([kept]))
+        if held is not None:
+            yield held
+
+    return dealt.mapInArrow(run, schema)
 
 
 def merge_offers(offers: DataFrame, key: str = "dedup_key") -> DataFrame:
@@ -46,7 +75,7 @@ def merge_offers(offers: DataFrame, key: str = "dedup_key") -> DataFrame:
     # the shown name and flags look at all offers, prices at the best per seller
     wide = offers.groupBy(key).agg(
         F.min_by("name", F.struct(-F.length("normalized_name"), F.col("seller"), F.col("name"))).alias("name"),
-        F.first("vintage", ignorenulls=True).alias("vintage"), F.max("private_label").alias("private_label"))
+        F.min_by("vintage", F.struct(F.col("vintage").isNull(), -F.length("normalized_name"), F.col("seller"), F.col("name"), F.col("vintage"))).alias("vintage"), F.max("private_label").alias("private_label"))
     priced = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seller", "price", "confidence", "url"))).alias("prices"))
     return wide.join(priced, key)
 
@@ -96,6 +125,14 @@ def pivot_prices(prices: DataFrame, item: str, seller: str, price: str, sellers:
     return prices.groupBy(item).pivot(seller, sellers).agg(F.min(price))
 
 
+def seller_list(sellers: DataFrame, seller: str, most: int = 5000) -> list:
+    """The sellers of a dimension in order, as columns for ``pivot_prices``; a table of more is no dimension."""
+    got = [r[0] for r in sellers.select(seller).distinct().orderBy(seller).limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"more than {most} sellers make no columns")
+    return got
+
+
 def band_summary(rows: DataFrame, bands: list[str]) -> DataFrame:
     """Rows and rated rows of every band, empty bands too."""
     spark = rows.sparkSession
