@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Fixed values.
 BLOCK_MARKERS = {"datadome": ["datadome", "captcha-delivery"], "cloudflare": ["cf-challenge", "just a moment", "cf_chl"], "bot protection": ["access denied", "are you a robot", "unusual traffic", "incapsula"]}
@@ -31,8 +31,6 @@ def robots_rules(files: DataFrame, agent: str) -> DataFrame:
     field = F.lower(F.trim(F.substring_index("line", ":", 1)))
     lines = lines.select("host", "at", field.alias("field"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value"))
     # a run of agent lines opens a block; one host's file is one small group
-    from pyspark.sql import Window
-
     w = Window.partitionBy("host").orderBy("at")
     opens = ((F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(w), F.lit("")) != "user-agent")).cast("int")
     blocks = lines.withColumn("block", F.sum(opens).over(w))
@@ -54,6 +52,22 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best, "url", "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
+#: Elements whose start closes an open one, by what it closes and what it does not look beyond (the optional tags of HTML).
+_BLOCKS = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
+_TABLE = frozenset({"table", "html", "body"})
+IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    **{t: (frozenset({"p"}), frozenset({"table", "td", "th", "caption", "button", "object", "html", "body"})) for t in _BLOCKS},
+    "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu", "table", "td", "th", "html", "body"})),
+    **{t: (frozenset({"dt", "dd"}), frozenset({"dl", "table", "td", "th", "html", "body"})) for t in ("dt", "dd")},
+    "option": (frozenset({"option"}), frozenset({"select", "datalist", "html", "body"})),
+    "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select", "html", "body"})),
+    **{t: (frozenset({"td", "th"}), frozenset({"tr"}) | _TABLE) for t in ("td", "th")},
+    "tr": (frozenset({"tr", "td", "th", "caption", "colgroup"}), _TABLE),
+    **{t: (frozenset({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}), _TABLE) for t in ("thead", "tbody", "tfoot")},
+    **{t: (frozenset({"rt", "rp"}), frozenset({"ruby", "html", "body"})) for t in ("rt", "rp")},
+}
+
+
 class _Tree(HTMLParser):
     """Nodes ``[tag, attributes, children, parent]``; texts are plain strings among the children."""
 
@@ -62,15 +76,25 @@ class _Tree(HTMLParser):
         self.root: list = ["", {}, [], None]
         self.at = self.root
         self.feed(page)
+        self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        node: list = [tag, {k: v or "" for k, v in attrs}, [], self.at]
+        if tag in IMPLIED:
+            closes, stops = IMPLIED[tag]
+            node = self.at
+            while node is not self.root and node[0] not in stops:
+                if node[0] in closes:
+                    self.at = node[3]
+                node = node[3]
+        node = [tag, {k: v or "" for k, v in attrs}, [], self.at]
         self.at[2].append(node)
         if tag not in VOID:
             self.at = node
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.at[2].append([tag, {k: v or "" for k, v in attrs}, [], self.at])
+        self.handle_starttag(tag, attrs)
+        if self.at[0] == tag and tag not in VOID:
+            self.at = self.at[3]
 
     def handle_endtag(self, tag: str) -> None:
         node = self.at
@@ -84,10 +108,12 @@ class _Tree(HTMLParser):
 
 
 def _walk(node: list) -> Iterator[list]:
-    for c in node[2]:
-        if isinstance(c, list):
-            yield c
-            yield from _walk(c)
+    """All nodes below, in the page's order; a stack, as pages may nest deeper than calls."""
+    todo = [c for c in reversed(node[2]) if isinstance(c, list)]
+    while todo:
+        n = todo.pop()
+        yield n
+        todo += [c for c in reversed(n[2]) if isinstance(c, list)]
 
 
 def _fits(node: list, selector: str) -> bool:
@@ -101,25 +127,44 @@ def _fits(node: list, selector: str) -> bool:
 
 def _text(node: list) -> str:
     out: list[str] = []
+    todo: list = list(reversed(node[2]))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c[0] not in ("script", "style"):
+            todo += reversed(c[2])
+    return re.sub(r"\s+", " ", " ".join(out)).strip()
 
-    def gather(n: list) -> None:
-        for c in n[2]:
-            if isinstance(c, str):
-                out.append(c)
-            elif c[0] not in ("script", "style"):
-                gather(c)
 
-    gather(node)
-    return re.sub(r"\s+", " ", " ".join(out)).strip()
+def _find(tile: list, selector: str) -> Iterator[list]:
+    """Nodes below ``tile`` that fit the last of the selector's parts, inside nodes that fit the others in turn."""
+    *outer, last = selector.split()
+    for n in _walk(tile):
+        if not _fits(n, last):
+            continue
+        up, left = n[3], list(outer)
+        while left and up is not None:
+            if _fits(up, left[-1]):
+                left.pop()
+            up = up[3] if up is not tile else None
+        if not left:
+            yield n
 
 
 def _value(tile: list, spec: str) -> str | None:
-    """``selector`` for the text of the first fitting node, ``selector@name`` for an attribute, ``@name`` for the tile's own."""
-    selector, _, name = spec.partition("@")
-    node = next((n for n in _walk(tile) if _fits(n, selector)), None) if selector else tile
-    if node is None:
-        return None
-    return node[1].get(name) if name else _text(node)
+    """``selector`` for the text of the first fitting node, ``selector*`` for the texts of all, ``selector@name`` for an attribute, ``@name`` for the
+    tile's own; of several, split by ``|``, the first that gives a text."""
+    for one in spec.split("|"):
+        selector, _, name = one.partition("@")
+        if selector.endswith("*"):
+            found: str | None = " ".join(filter(None, map(_text, _find(tile, selector[:-1]))))
+        else:
+            node = next(_find(tile, selector), None) if selector else tile
+            found = None if node is None else node[1].get(name) if name else _text(node)
+        if found or one == spec:
+            return found
+    return None
 
 
 def tiles(pages: DataFrame, tile: str, fields: dict[str, str], html: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -139,15 +184,27 @@ def tiles(pages: DataFrame, tile: str, fields: dict[str, str], html: str = "html
     return pages.select(*kept, html).mapInPandas(run, schema)
 
 
-def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Absolute links of every page."""
-    got = tiles(pages.select(url, html), "a", {"href": "@href"}, html, [url])
+def absolute_url(base: Column, href: Column) -> Column:
+    """An address as its page means it; null for none."""
 
     @F.pandas_udf("string")
-    def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
-        return pd.Series([None if h is None else urljoin(b or "", h) for b, h in zip(base, href, strict=True)], dtype=object)
+    def absolute(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
+        return pd.Series([_joined_url(b, h) for b, h in zip(bases, hrefs, strict=True)], dtype=object)
 
-    return got.where("href IS NOT NULL").select(url, absolute(F.col(url), F.col("href")).alias("link"), "all_text")
+    return absolute(base, href)
+
+
+def _joined_url(base: str | None, href: str | None) -> str | None:
+    try:
+        return None if href is None else urljoin(base or "", href)
+    except ValueError:  # a bracket that is no address
+        return None
+
+
+def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Absolute links of every page."""
+    got = tiles(pages.select(url, html), "a", {"href": "@href"}, html, [url])
+    return got.where("href IS NOT NULL").select(url, absolute_url(F.col(url), F.col("href")).alias("link"), "all_text")
 
 
 class Graph:
@@ -156,26 +213,41 @@ class Graph:
     def __init__(self, array: list, keyed: bool, depth: int):
         self.array, self.keyed, self.depth = array, keyed, depth
 
-    def value(self, x: object, depth: int | None = None, path: tuple[int, ...] = ()) -> object:
-        """``x`` with places resolved; a cycle or too deep a nesting gives None."""
-        depth = self.depth if depth is None else depth
-        if depth <= 0 or x is None or isinstance(x, (bool, float, str)):
-            return None if depth <= 0 else x
-        if isinstance(x, int):
-            inside = 0 <= x < len(self.array)
-            if x in path or (self.keyed and not inside):
-                return None
-            if not inside:
-                return x
-            target = self.array[x]
-            if self.keyed and not isinstance(target, (list, dict)):
-                return target  # a scalar at its place is a value, never another place
-            return self.value(target, depth - 1, (*path, x))
-        if isinstance(x, list):
-            if not self.keyed and len(x) == 2 and isinstance(x[0], str) and x[0] in WRAPPERS:
-                return self.value(x[1], depth - 1, path)
-            return [self.value(v, depth - 1, path) for v in x]
-        return {self.key(k): self.value(v, depth - 1, path) for k, v in x.items()}
+    def _hop(self, x: object, left: int, trail: tuple | None) -> tuple[object, int, tuple | None]:
+        """What ``x`` stands for, behind all places and wrappers, with the steps that are left and the places behind it; None for a cycle."""
+        while left > 0:
+            if type(x) is list and not self.keyed and len(x) == 2 and isinstance(x[0], str) and x[0] in WRAPPERS:
+                x, left = x[1], left - 1
+                continue
+            if type(x) is not int or not (self.keyed or 0 <= x < len(self.array)):
+                return x, left, trail
+            behind = trail
+            while behind is not None and behind[0] != x:
+                behind = behind[1]
+            if behind is not None or not 0 <= x < len(self.array):
+                return None, left, trail
+            trail, x, left = (x, trail), self.array[x], left - 1
+            if self.keyed and not isinstance(x, (list, dict)):
+                return x, max(left, 1), trail  # a scalar at its place is a value, never another place
+        return None, 0, trail
+
+    def value(self, x: object) -> object:
+        """``x`` with places resolved, container by container from a worklist; a cycle or too deep a nesting gives None."""
+        out: list = [None]
+        todo: list[tuple[list | dict, object, object, int, tuple | None]] = [(out, 0, x, self.depth, None)]
+        while todo:
+            into, slot, raw, left, trail = todo.pop()
+            raw, left, trail = self._hop(raw, left, trail)
+            if isinstance(raw, list) and left > 0:
+                made: list | dict = [None] * len(raw)
+                todo += [(made, i, v, left - 1, trail) for i, v in enumerate(raw)]
+            elif isinstance(raw, dict) and left > 0:
+                made = dict.fromkeys(map(self.key, raw))
+                todo += [(made, self.key(k), v, left - 1, trail) for k, v in raw.items()]
+            else:
+                made = None if isinstance(raw, (list, dict)) else raw
+            into[slot] = made
+        return out[0]
 
     def key(self, k: str) -> str:
         if self.keyed and (m := re.fullmatch(r"_(\d+)", k)) and int(m[1]) < len(self.array):
@@ -198,7 +270,7 @@ def graph_objects(text: Column, required: list[str], keyed: bool = False, depth:
         for t in texts:
             try:
                 data = json.loads(t) if t else None
-            except ValueError:
+            except (ValueError, RecursionError):
                 data = None
             out.append([json.dumps(o, ensure_ascii=False) for o in Graph(data, keyed, limit).objects(required)] if isinstance(data, list) else [])
         return pd.Series(out)
@@ -210,14 +282,15 @@ def embedded_objects(text: Column, required: list[str]) -> Column:
     """Array of the balanced JSON objects inside a text, at any depth, that have all the keys."""
 
     def walk(v: object) -> Iterator[dict]:
-        if isinstance(v, dict):
-            if set(required) <= set(v):
-                yield v
-            for x in v.values():
-                yield from walk(x)
-        elif isinstance(v, list):
-            for x in v:
-                yield from walk(x)
+        todo = [v]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, dict):
+                if set(required) <= set(x):
+                    yield x
+                todo += reversed(list(x.values()))
+            elif isinstance(x, list):
+                todo += reversed(x)
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
@@ -228,7 +301,7 @@ def embedded_objects(text: Column, required: list[str]) -> Column:
                 try:
                     value, at = decoder.raw_decode(t, at)
                     found += [json.dumps(o, ensure_ascii=False) for o in walk(value)]
-                except ValueError:
+                except (ValueError, RecursionError):
                     at += 1
             out.append(found)
         return pd.Series(out)
