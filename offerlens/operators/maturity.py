@@ -64,6 +64,48 @@ def settle(table_code: Column, window: Column, early: Column) -> Column:
     return F.struct(F.coalesce(own, ready).alias("code"), F.when(own.isNotNull() & (own != ready), ready).alias("conflict"))
 
 
+def attach_codes(rows: DataFrame, found: DataFrame, today: Column) -> DataFrame:
+    """``rows(id, wine_type, vintage, early, first, last)`` with ``maturity``: the table's verdict, overridden by a drinking window.
+
+    ``found`` is ``lookup``'s table. The struct says ``code, conflict, source``, what it rests on
+    (``basis``) and both as a sentence (``note``).
+    """
+    got = rows.join(found.select("id", F.col("code").alias("_code"), F.col("region").alias("_region")), "id", "left")
+    window = window_code(F.col("first"), F.col("last"), today)
+    both = settle(F.col("_code"), window, F.coalesce("early", F.lit("")))
+    by_window = (window != "") & (F.col("_code").isNull() | (window != both["code"]) | both["conflict"].isNotNull())
+    source = F.when(by_window, "window").when(F.col("_code").isNotNull(), "table")
+    aged = (F.coalesce("early", F.lit("")) != "") & F.col("_code").isin(STILL_MATURING)
+    basis = F.when(by_window, F.concat(F.lit("window "), F.concat_ws("-", "first", "last"))).when(aged, F.concat("early", F.lit(" (style before region)"))).otherwise(F.coalesce("_region", F.lit("")))
+    named = got.withColumns({"_both": both, "_source": source, "_basis": basis})
+    note = F.concat(F.col("_both.code"), F.lit(" ("), F.concat_ws(" ", F.nullif("_basis", F.lit("")), "wine_type"), F.lit(", vintage "), F.coalesce(F.col("vintage").cast("string"), F.lit("?")), F.lit(")"))
+    conflict = F.when(F.col("_both.conflict").isNotNull(), F.concat(F.lit("table: "), F.col("_both.conflict"), F.coalesce(F.concat(F.lit(" ("), F.concat_ws(" ", "_region", "wine_type"), F.lit(")")), F.lit(""))))
+    struct = F.when(F.col("_both.code").isNotNull(), F.struct(F.col("_both.code").alias("code"), conflict.alias("conflict"), F.col("_source").alias("source"), F.col("_basis").alias("basis"), note.alias("note")))
+    return named.withColumn("maturity", struct).drop("_code", "_region", "_both", "_source", "_basis")
+
+
+def blocks(words: DataFrame, heads: DataFrame) -> DataFrame:
+    """``words(page, text, x, top)`` with the ``block`` of ``heads(page, block, top)`` that they stand under: the nearest head above on the page."""
+    line = words.select("page", "top", "x", "text", F.lit(None).cast("string").alias("block")).unionByName(heads.select("page", "top", F.lit(float("-inf")).alias("x"), F.lit(None).cast("string").alias("text"), "block"))
+    w = Window.partitionBy("page").orderBy("top", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return line.withColumn("block", F.last("block", ignorenulls=True).over(w)).where("text IS NOT NULL")
+
+
+def glyph_code(red: Column, green: Column, blue: Column, text: Column, legend: dict[str, tuple[float, float, float]], tolerance: float = 0.02) -> Column:
+    """Code of a glyph by its colour (within a tolerance of the legend's), a dash for a blank, null for any other."""
+    near = lambda c, v: F.abs(c - v) <= tolerance
+    by_colour = F.coalesce(*(F.when(near(red, r) & near(green, g) & near(blue, b), code) for code, (r, g, b) in legend.items()), F.lit(None).cast("string"))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))).isin("", "-", "–"), "-").otherwise(by_colour)
+
+
+def year_table(glyphs: DataFrame, columns: DataFrame, tolerance: float = 7.0) -> DataFrame:
+    """``block, vintage, code``: each glyph's code under its nearest year; of two in one cell the nearer counts, years without a glyph are ``-``."""
+    near = nearest_column(glyphs.select("page", "block", "x", "code"), columns, tolerance).where("year IS NOT NULL")
+    told = near.join(columns.select("page", "year", F.col("x").alias("_x")), ["page", "year"]).groupBy("block", "year").agg(F.min_by("code", F.struct(F.abs(F.col("x") - F.col("_x")), F.col("code"))).alias("code"))
+    every = near.select("page", "block").distinct().join(columns.select("page", "year"), "page").select("block", "year").distinct()
+    return every.join(told, ["block", "year"], "left").select("block", F.col("year").alias("vintage"), F.coalesce("code", F.lit("-")).alias("code"))
+
+
 def nearest_column(glyphs: DataFrame, columns: DataFrame, tolerance: float = 7.0) -> DataFrame:
     """Each glyph's year: the column whose ``x`` is nearest, within a tolerance. Positions are binned, so the join is by equality."""
     width = 2 * tolerance

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import fold
+from .small import attach
 
 
 def assign(rows: DataFrame, aliases: DataFrame, name: str = "region_name", most_aliases: int = 20_000) -> DataFrame:
@@ -22,3 +23,8 @@ def assign(rows: DataFrame, aliases: DataFrame, name: str = "region_name", most_
     rank = F.struct((F.col("_n") == F.col("alias")).alias("exact"), F.length("alias").alias("length"), F.col("alias").alias("alias"))
     best = hit.groupBy(name).agg(F.max_by("region", rank).alias("region"))
     return rows.join(best, name, "left")
+
+
+def describe(rows: DataFrame, regions: DataFrame, key: str = "region") -> DataFrame:
+    """``rows`` with ``region_label, price_from, price_to`` of ``regions(region, label, price_from, price_to)``: a set span, for display."""
+    return attach(rows, regions.select(F.col("region").alias(key), F.col("label").alias("region_label"), "price_from", "price_to"), [key]).withColumn("region_label", F.coalesce("region_label", F.lit("")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .small import attach
+
 # Fixed values.
 PRICE_STEP = 0.05
 MAX_BLOCKED = 0.20
@@ -58,6 +60,16 @@ def check(current: DataFrame, previous_rated: int | None) -> None:
         raise Implausible(f"{row['verdict']}: {row['rated']} of {row['total']} rated, {row['blocked']} blocked")
 
 
+def page_verdict(new_rows: Column, old_rows: Column, new_run: Column, old_run: Column) -> Column:
+    """``ok``, or why a page must stay: it shows a later run, or the new one has under ``PAGE_RATIO`` of its rows."""
+    return (F.when(old_rows.isNull(), "ok").when(old_run.isNotNull() & (new_run < old_run), "later run").when(new_rows < PAGE_RATIO * old_rows, "fewer rows").otherwise("ok"))
+
+
+def fresh_verdict(rated_at: Column, youngest_offer: Column) -> Column:
+    """``stale`` where ratings are older than the newest offer."""
+    return F.when(rated_at.isNull() | (youngest_offer.isNotNull() & (rated_at < youngest_offer)), "stale").otherwise("ok")
+
+
 def check_page(new_rows: int, old_rows: int | None, new_run: str, old_run: str | None, force: bool = False) -> None:
     """Refuse to replace a page by one of an older run or with under ``PAGE_RATIO`` of its rows."""
     if force or old_rows is None:
@@ -119,8 +131,8 @@ def uncovered_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 def replace_source(existing: DataFrame, fetched: DataFrame, reports: DataFrame) -> DataFrame:
     """Swap the offers of every source that answered with some; sources that failed or were empty keep theirs."""
     good = reports.where((F.col("status") == "ok") & (F.col("offers") > 0)).select("source").distinct()
-    kept = existing.join(F.broadcast(good), "source", "left_anti")
-    return kept.unionByName(fetched.join(F.broadcast(good), "source", "left_semi"), allowMissingColumns=True)
+    kept = attach(existing, good, ["source"], "left_anti")
+    return kept.unionByName(attach(fetched, good, ["source"], "left_semi"), allowMissingColumns=True)
 
 
 def daily_runs(runs: DataFrame, keep: int = KEEP_RUNS) -> DataFrame:
@@ -167,6 +179,14 @@ def check_schema_version(version: int, known: int) -> None:
         raise ValueError(f"the cache has schema {version}; this library knows {known}")
 
 
+def migrate(cache: DataFrame, version: int, known: int, renamed: dict[int, dict[str, str]]) -> DataFrame:
+    """A cache brought to the schema this library knows: the columns that each later version ``renamed``; a newer cache is refused."""
+    check_schema_version(version, known)
+    for v in range(version + 1, known + 1):
+        cache = cache.withColumnsRenamed(renamed.get(v, {}))
+    return cache
+
+
 def order_changes(diff: DataFrame) -> DataFrame:
     return diff.orderBy("change", F.col("delta").asc_nulls_last(), *([F.col("key")] if "key" in diff.columns else []))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import prices as P, text as X
 from ..operators.merge import dedupe_offers
+from ..operators.small import attach
 
 # Fixed values.
 UNIT_TOLERANCE, PERCENT_TOLERANCE = 0.02, 1.0
@@ -33,14 +34,16 @@ class Shop:
     critics: dict[str, str] = field(default_factory=dict)
 
 
-OPTIONAL = {"url": "string", "reference": "double", "basis_text": "string", "vintage": "int", "producer": "string", "region": "string", "article": "string", "seller": "string", "vat": "boolean", "position": "int"}
+OPTIONAL = {"url": "string", "reference": "double", "basis_text": "string", "vintage": "int", "producer": "string", "region": "string", "article": "string", "seller": "string", "vat": "boolean", "position": "int", "sure": "boolean", "pack": "int", "critic_text": "string", "note": "string"}
 
 
-def make_offers(raw: DataFrame, shop: Shop) -> DataFrame:
+def build_offers(raw: DataFrame, shop: Shop) -> DataFrame:
     """Offers of ``raw(name, amount, ...)``; what is missing of ``OPTIONAL`` is null.
 
     The reference price is brought to the same unit by the factor that was
-    applied to the price, so that the discount compares like with like.
+    applied to the price, so that the discount compares like with like. A record
+    that is not ``sure`` of what its amount pays for has a low confidence; ``pack``
+    is a number of bottles that the shop states beside the price of one.
     """
     raw = raw.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in raw.columns})
     basis = F.concat_ws(" ", "name", "basis_text")
@@ -53,12 +56,17 @@ def make_offers(raw: DataFrame, shop: Shop) -> DataFrame:
     vintage = F.coalesce("vintage", X.extract_vintage(F.col("name")))
     out = rows.select(
         F.lit(shop.key).alias("source"), F.coalesce("seller", F.lit(shop.key)).alias("seller"), F.trim("name").alias("name"), "url", vintage.alias("vintage"), "producer", "region",
-        F.col("p.price").alias("price"), F.col("p.raw").alias("raw"), F.col("p.confidence").alias("confidence"), F.col("p.bottle_ml").alias("bottle_ml"), F.col("p.units").alias("units"),
+        F.col("p.price").alias("price"), F.col("p.raw").alias("raw"), F.when(F.col("sure") == F.lit(False), "low").otherwise(F.col("p.confidence")).alias("confidence"), F.col("p.bottle_ml").alias("bottle_ml"), F.coalesce("pack", "p.units").alias("units"),
         F.col("p.vat_added").alias("vat_added"), F.col("p.raw_is_pack").alias("raw_is_pack"), reference.alias("reference_price"), percent.alias("discount_percent"),
         P.rate_discount(percent, private).alias("discount_plausibility"), private.alias("private_label"), F.col("article").alias("article"),
-        X.critic_scores(basis, shop.critics).alias("critics") if shop.critics else F.lit(None).cast("map<string,double>").alias("critics"),
-        X.normalized_name(F.col("name")).alias("normalized_name"), X.dedup_key(F.col("name"), vintage).alias("dedup_key"), F.coalesce("position", F.lit(0)).alias("position"))
-    return dedupe_offers(out)
+        X.critic_scores(F.concat_ws(" ", basis, "critic_text"), shop.critics).alias("critics") if shop.critics else F.lit(None).cast("map<string,double>").alias("critics"),
+        X.normalized_name(F.col("name")).alias("normalized_name"), X.dedup_key(F.col("name"), vintage).alias("dedup_key"), F.coalesce("note", F.lit("")).alias("note"), F.coalesce("position", F.lit(0)).alias("position"))
+    return out
+
+
+def make_offers(raw: DataFrame, shop: Shop) -> DataFrame:
+    """``build_offers`` of a source's records, one per name and vintage."""
+    return dedupe_offers(build_offers(raw, shop))
 
 
 def not_expired(text: Column, today: Column) -> Column:
@@ -72,7 +80,7 @@ def merchant_key(label: Column, known: dict[str, str]) -> Column:
     """Key of a merchant's label: the known one, else a slug of ASCII letters and digits."""
     t = X.fold(F.trim(label))
     named = F.coalesce(*(F.when(t == k, v) for k, v in known.items()), F.lit(None).cast("string"))
-    return F.coalesce(named, F.regexp_replace(F.regexp_replace(t, MERCHANT_SLUG, "-"), "^-|-$", ""))
+    return F.coalesce(named, F.nullif(F.regexp_replace(t, MERCHANT_SLUG, ""), F.lit("")))
 
 
 def deep_link(base: Column, name: Column, words: int = 3) -> Column:
@@ -144,6 +152,29 @@ def seed_ratings(hits: DataFrame) -> DataFrame:
     return rated.select("normalized_name", "vintage", "rating", "rating_count", "entity_url", F.lit("exact").alias("status"), F.lit("exact").alias("confidence"), F.lit(False).alias("window_checked")).dropDuplicates(["normalized_name", "vintage"])
 
 
+def search_words(name: Column, words: int = 3) -> Column:
+    """The first query words of a name up to its first dash."""
+    head = F.substring_index(F.substring_index(name, "–", 1), " - ", 1)
+    return F.array_join(F.slice(X.query_tokens(head), 1, words), " ")
+
+
+def with_search(url: Column, words: Column) -> Column:
+    """A shop's address with ``words`` in front of what its ``q`` filters by; an address without ``q`` gets the usual order."""
+    query = F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&")
+    old = F.get(F.filter(query, lambda p: p.startswith("q=")), F.lit(0))
+    filters = F.regexp_extract(F.coalesce(F.url_decode(F.substring(old, 3, 10_000)), F.lit(":relevance:specialOfferFacet:true")), r"^[^:]*:(.*)$", 1)
+    rest = F.filter(query, lambda p: (p != "") & ~p.startswith("q="))
+    asked = F.concat(F.lit("q="), F.replace(F.url_encode(F.concat(words, F.lit(":"), F.when(filters == "", "relevance").otherwise(filters))), F.lit("+"), F.lit("%20")))
+    return F.when(words == "", url).otherwise(F.concat(F.substring_index(url, "?", 1), F.lit("?"), F.array_join(F.concat(F.array(asked), rest), "&")))
+
+
+def promo_page(name: Column, pages: dict[str, str]) -> Column:
+    """Where a merchant sells a name: its standard page searched for the name, else the page of a colour that the name says."""
+    standard, words = pages.get("standard"), search_words(name)
+    by_colour = F.coalesce(*(F.when(F.lower(name).contains(colour), url) for colour, url in pages.items() if colour != "standard"), F.lit(standard).cast("string"))
+    return F.when(words != "", with_search(F.lit(standard), words)).otherwise(by_colour) if standard else by_colour
+
+
 def marketplace(hits: DataFrame) -> DataFrame:
     """Marketplace records that are real markdowns of standard bottles, one per price id."""
     ok = (F.col("bottle_ml") == P.REFERENCE_ML) & (F.col("amount") > 0) & (F.col("discounted_from") > F.col("amount"))

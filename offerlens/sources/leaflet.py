@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import text as X
+
 # Fixed values.
+UNIT = r"(?iu)^(?:\d+(?:[.,]\d+)?\s*(?:cl|ml|dl|l|lt)|kg|g|st(?:ü|u)ck|stk|liter)$"
+BY_WEIGHT = r"(?i)^(?:kg|g|st)"
+PRICE = r"^\d{1,4}[.,]\d{2}$"
+INSTEAD = r"(?i)statt\s*([\d.,]+)"
+DISCOUNT = r"^-\d{1,2}\s*%$"
+PACK = r"(?i)\b\d{1,3}\s*[x×]\s*\d+(?:[.,]\d+)?\s*(?:cl|ml|dl|l|g|kg)\b"
+NOISE = (r"(?iu)immer g(?:ü|u)nstig|abholen|preis(?:ä|a)nderungen|mengenbeschr|vorbehalten|alle aktionen|internet|aktionen$|dauertief|exklusive mwst|inklusive vrg|^aktion$|^neu$"
+         r"|\d{1,2}\.\d{1,2}\.\s*[–-]\s*\d{1,2}\.\d{1,2}\.")
 ABOVE, BELOW = (-200.0, -4.0), (4.0, 95.0)
 LINE_GAP = 3.0
 
@@ -26,7 +36,7 @@ def column_bounds(anchors: DataFrame, gap: float = 40.0) -> DataFrame:
 
 
 def cells(words: DataFrame, anchors: DataFrame, bin_height: float = 100.0) -> DataFrame:
-    """``page, anchor, lines``: the words above and below each anchor in its column, as lines from top to bottom.
+    """``page, anchor, lines, above, below``: the words around each anchor in its column, as lines from top to bottom.
 
     ``words(page, text, x0, top)`` and ``anchors(page, anchor, x0, top)``. The range
     condition on height is turned into equality on bins before it is checked.
@@ -44,7 +54,36 @@ def cells(words: DataFrame, anchors: DataFrame, bin_height: float = 100.0) -> Da
     lines = clusters(met, ["page", "anchor"], "top", LINE_GAP)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda p: p["text"]), " ")
     one = lines.groupBy("page", "anchor", "cluster").agg(text.alias("line"), F.min("top").alias("top"))
-    return one.groupBy("page", "anchor").agg(F.transform(F.array_sort(F.collect_list(F.struct("top", "line"))), lambda p: p["line"]).alias("lines"))
+    at = one.join(anchors.select("page", "anchor", F.col("top").alias("at")), ["page", "anchor"])
+    lines = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("top", "line")))), lambda p: p["line"])
+    return at.groupBy("page", "anchor").agg(lines(F.lit(True)).alias("lines"), lines(F.col("top") < F.col("at")).alias("above"), lines(F.col("top") >= F.col("at")).alias("below"))
+
+
+def cell_fields(cells: DataFrame, places: list[str] = ()) -> DataFrame:
+    """``name, amount, reference, unit, pack`` of ``cells(above, below)``, arrays of lines from top to bottom.
+
+    The unit and the price are the lowest such lines above the anchor; a struck
+    price may stand on either side; the name is what is left below it, without
+    layout lines and lines that only name a place.
+    """
+    trimmed = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t: F.trim(t))
+    up, down = F.reverse(trimmed("above")), trimmed("below")
+    first = lambda lines, pattern: F.get(F.filter(lines, lambda t: t.rlike(pattern)), F.lit(0))
+    struck = F.regexp_extract(F.coalesce(first(up, INSTEAD), first(down, INSTEAD)), INSTEAD, 1)
+    pack = F.regexp_extract(first(F.concat(down, trimmed("above")), PACK), PACK, 0)
+    place = r"(?iu)^(?:" + "|".join(places) + r")$" if places else r"(?!)"
+    plain = lambda t: (t != "") & ~t.rlike(NOISE) & ~t.rlike(place) & ~t.rlike("^" + PACK.replace("(?i)", "(?i)") + "$") & ~t.rlike(INSTEAD) & ~t.rlike(UNIT) & ~t.rlike(PRICE) & ~t.rlike(DISCOUNT) & ~t.rlike(r"^\d+$")
+    return cells.withColumns({
+        "unit": F.coalesce(first(up, UNIT), F.lit("")), "amount": X.parse_price(first(up, PRICE)), "reference": X.parse_price(struck), "pack": F.coalesce(pack, F.lit("")),
+        "name": F.array_join(F.filter(down, plain), " ")})
+
+
+def leaflet_records(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records for ``make_offers``, prices without tax, and the positions that are not sure, with why."""
+    doubt = F.when(F.col("amount").isNull(), "no price").when(F.col("unit") == "", "no unit").when(F.col("unit").rlike(BY_WEIGHT), "not by the bottle")
+    named = fields.where("name <> ''").withColumn("doubt", doubt)
+    sure = named.where("doubt IS NULL").withColumns({"basis_text": F.col("unit"), "vat": F.lit(False), "note": F.concat_ws(", ", F.lit("leaflet"), F.nullif("pack", F.lit("")))}).drop("doubt", "pack", "unit", "above", "below")
+    return sure, named.where("doubt IS NOT NULL")
 
 
 def split_sure(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
