@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import prices as P, text as X, vocab
-from ..operators import matching, maturity, merge, regions
+from ..operators import matching, maturity, regions
 from ..sources import adapters, pages
 from .queries import query
-from .tables import offers, table
+from .tables import table
 
 
 @query("""WITH n AS (SELECT p_partkey AS item, p_name || ' ' || p_type || ' ' || p_brand AS name FROM part),
@@ -26,7 +26,7 @@ def vintage_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", X.extract_vintage(t).alias("vintage"))
 
 
-@query("SELECT doc_id, md5(replace(strip_accents(replace(lower(text), 'ß', 'ss')), 'œ', 'œ')) AS folded FROM documents")
+@query("SELECT doc_id, md5(strip_accents(replace(lower(text), 'ß', 'ss'))) AS folded FROM documents")
 def document_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.fold(F.col("text"))).alias("folded"))
 
@@ -97,11 +97,13 @@ def maturity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maturity.lookup(rows, spark.createDataFrame(_TOKENS, "region string, token string"), spark.createDataFrame(_TABLE, "region string, wine_type string, vintage int, code string")).select("id", "code")
 
 
-@query("""SELECT o_orderkey, CASE WHEN 40 + o_orderkey % 70 BETWEEN 50 AND 100 THEN CAST(40 + o_orderkey % 70 AS DOUBLE) END AS parker,
-  CASE WHEN 45 + o_custkey % 50 >= 50 THEN CAST(45 + o_custkey % 50 AS DOUBLE) END AS suckling FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey, 40 + o_orderkey % 70 AS x, 45 + o_custkey % 50 AS y, 48 + o_orderkey % 60 AS z FROM orders)
+SELECT o_orderkey, greatest(CASE WHEN x BETWEEN 50 AND 100 THEN CAST(x AS DOUBLE) END, CASE WHEN y BETWEEN 50 AND 100 THEN CAST(y AS DOUBLE) END) AS parker, CASE WHEN z BETWEEN 50 AND 100 THEN CAST(z AS DOUBLE) END AS suckling FROM o""")
 def critic_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("Parker "), 40 + F.col("o_orderkey") % 70, F.lit("/100, James Suckling: "), 45 + F.col("o_custkey") % 50, F.lit("/100"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", X.critic_scores(t, {"parker": "parker", "suckling": "suckling"}).alias("m"))
+    """Of several scores of a critic, under any of its names, the highest that lies in the scale."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    t = F.concat(F.when(key % 2 == 0, "Parker ").otherwise("PARKER: "), 40 + key % 70, F.lit("/100, James Suckling: "), 48 + key % 60, F.lit(" / 100; Wine Advocate "), 45 + cust % 50, F.lit("/100, 3/5 Gläser"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", X.critic_scores(t, {"parker": "parker", "wine advocate": "parker", "suckling": "suckling"}).alias("m"))
     return rows.select("o_orderkey", F.col("m")["parker"].alias("parker"), F.col("m")["suckling"].alias("suckling"))
 
 
@@ -111,16 +113,15 @@ def parse_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", X.parse_price(t).alias("amount"))
 
 
-_BASIS = {1: "75 cl", 2: "6 x 75 cl", 3: "Karton", 4: "Magnum", 5: "50 cl exkl. MwSt", 6: "12er Karton exkl. MwSt", 7: "3 l Bag-in-Box"}
-
-
-@query("""WITH o AS (SELECT l_orderkey AS a, l_linenumber AS b, l_extendedprice AS p FROM lineitem)
-SELECT a, b, round(p / CASE b WHEN 2 THEN 6 WHEN 6 THEN 12 ELSE 1 END * (750.0::DOUBLE / CASE b WHEN 4 THEN 1500 WHEN 5 THEN 500 WHEN 7 THEN 3000 ELSE 750 END)
-    * CASE WHEN b IN (5, 6) THEN 1.081::DOUBLE ELSE 1.0::DOUBLE END + 1e-9, 2) AS price,
-  CASE WHEN b IN (1, 2) THEN 'high' WHEN b = 3 THEN 'low' ELSE 'medium' END AS confidence FROM o""")
+@query("""WITH o AS (SELECT l_orderkey AS a, l_linenumber AS b, l_extendedprice AS p, CAST(l_quantity AS INT) AS q FROM lineitem), u AS (SELECT *, CASE WHEN b IN (1, 6) AND q <= 24 THEN q ELSE 1 END AS n FROM o)
+SELECT a, b, round(p / n * (750.0::DOUBLE / CASE b WHEN 4 THEN 1500 WHEN 5 THEN 500 WHEN 7 THEN 3000 ELSE 750 END) * CASE WHEN b IN (5, 6) THEN 1.081::DOUBLE ELSE 1.0::DOUBLE END + 1e-9, 2) AS price,
+  CASE WHEN b = 3 OR b IN (1, 6) AND q > 24 THEN 'low' WHEN b IN (1, 2) THEN 'high' ELSE 'medium' END AS confidence FROM u""")
 def price_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    basis = F.create_map(*(F.lit(x) for kv in _BASIS.items() for x in kv))[F.col("l_linenumber")]
-    rows = P.with_normalized_price(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", basis, "p")
+    """Prices whose text states pack, size and tax: counts beyond a pack and cartons without a count make them unsure."""
+    b, q = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
+    basis = (F.when(b == 1, F.concat(q, F.lit(" x 75 cl"))).when(b == 2, "75 cl (100 ml = 1.20)").when(b == 3, "Karton").when(b == 4, "Magnum").when(b == 5, "50 cl exkl. MwSt")
+             .when(b == 6, F.concat(q, F.lit("er Karton exkl. MwSt"))).otherwise("3 l Bag-in-Box"))
+    rows = P.with_normalized_price(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), "l_extendedprice", basis, "p")
     return rows.select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("p.price").alias("price"), F.col("p.confidence").alias("confidence"))
 
 
@@ -129,31 +130,36 @@ def search_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), X.search_url("https://search.example/?q=", F.concat("p_name", F.lit("#"), "p_size")).alias("url"))
 
 
-@query()
+_ROBOTS = [("/fr/", False), ("/fr/8*", True), ("/*?page=", False), ("/*/fr/", False), ("/es/1$", False)]
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/?#]+', '') AS path, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages),
+r(pattern, regex, allow) AS (VALUES ('/fr/', '^/fr/.*', false), ('/fr/8*', '^/fr/8.*.*', true), ('/*?page=', '^/.*\\?page=.*', false), ('/*/fr/', '^/.*/fr/.*', false), ('/es/1$', '^/es/1$', false)),
+hit AS (SELECT page_id, arg_max(allow, length(pattern) * 10 + CASE WHEN allow THEN 1 ELSE 0 END) AS allowed FROM p JOIN r ON regexp_matches(split_part(path, '#', 1), regex) WHERE length(host) % 2 = 0 GROUP BY 1)
+SELECT p.page_id, coalesce(hit.allowed, true) AS allowed FROM p LEFT JOIN hit ON hit.page_id = p.page_id""")
 def robots_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts with names of an even length state rules, those of the others are for another agent."""
     p = table(spark, sf_dir, "pages").select("page_id", "url")
-    files = p.select(F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host")).distinct().withColumn("body", F.lit("User-agent: *\nDisallow: /fr/\nAllow: /fr/8*\nDisallow: /*?page=\n"))
+    rules = "".join(f"{'Allow' if allow else 'Disallow'}: {pattern}\n" for pattern, allow in _ROBOTS)
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    files = p.select(host.alias("host")).distinct().withColumn("body", F.when(F.length("host") % 2 == 0, "User-agent: other\nDisallow: /\n\nUser-agent: *\n" + rules).otherwise("User-agent: other\n" + rules))
     return pages.robots_allowed(p, pages.robots_rules(files, "reader")).select("page_id", "allowed")
 
 
-@query()
-def dedupe_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = offers(spark, sf_dir).select(F.col("seller").cast("string").alias("source"), F.concat(F.lit("item "), F.col("item")).alias("name"), F.lit(None).cast("int").alias("vintage"), "price", "confidence", F.unix_timestamp(F.col("shipped").cast("timestamp")).alias("position"))
-    return merge.dedupe_offers(o)
-
-
-@query()
+@query("""SELECT DISTINCT p_name || ' ' || p_brand AS shop_id, p_brand || ' ' || p_name AS entry_id FROM part""")
 def name_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name finds its own entry among all others, which share one or two of its words."""
     names = table(spark, sf_dir, "part").select("p_name", "p_brand").distinct()
     shop = names.select(F.concat_ws(" ", "p_name", "p_brand").alias("shop_id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.lit(None).cast("int").alias("vintage"))
     entries = names.select(F.concat_ws(" ", "p_brand", "p_name").alias("entry_id"), F.concat_ws(" ", F.lit("house"), "p_brand", "p_name").alias("name"), F.lit(None).cast("int").alias("vintage"), F.lit(False).alias("rated"))
     own = vocab.Vocabulary(regions=vocab.WINE.regions | {"brand", "house"})
-    return matching.rank(matching.link(shop, entries, own)).where("position = 1").select("shop_id", "entry_id", "confidence", F.round("score", 3).alias("score"))
+    return matching.rank(matching.link(shop, entries, own)).where("position = 1").select("shop_id", "entry_id")
 
 
-@query()
+@query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS t FROM pages), n AS (SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS name FROM l)
+SELECT DISTINCT name, round(page_id % 50 + 5.0::DOUBLE + 1e-9, 2) AS price FROM n WHERE name <> '' AND regexp_full_match(name, '[A-Za-z]+')""")
 def shop_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles of all pages as raw records through the offer constructor."""
+    """Links of all pages as raw records through the offer constructor, one offer per name and price (names of plain letters)."""
     t = pages.tiles(table(spark, sf_dir, "pages").select("page_id", "html"), "a", {"name": "a"}).select(
-        F.col("all_text").alias("name"), (F.col("page_id") % 50 + 5.0).alias("amount"), F.concat(F.lit("/"), F.col("page_id")).alias("url"), "position")
-    return adapters.make_offers(t, adapters.Shop("pages")).select("name", "url", "price", "confidence", "dedup_key")
+        F.col("all_text").alias("name"), (F.col("page_id") % 50 + 5.0).alias("amount"), F.concat(F.lit("/"), F.col("page_id")).alias("url"), F.concat(F.lit("p"), F.col("page_id")).alias("article"), "position").where(F.col("name").rlike("^[A-Za-z]+$"))
+    return adapters.build_offers(t, adapters.Shop("pages")).select("name", "price").distinct()
