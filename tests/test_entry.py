@@ -8,13 +8,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from offerlens.plans import queries, text_queries  # noqa: F401
+from offerlens.plans import queries, record_queries, rule_queries, text_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def shown(v):
-    if v is None or v is pd.NaT or (isinstance(v, (float, np.floating)) and np.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and np.isnan(v)):
         return ""
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))

@@ -53,9 +53,27 @@ def test_dedupe_keeps_the_cheaper_even_if_low_but_drops_a_low_incumbent(spark):
     assert got == {("a", None): (9.0, "high"), ("b", None): (5.0, "low"), ("b", 2020): (1.0, "high")}
 
 
-def test_dedupe_folds_over_all_offers_of_a_name(spark):
-    kept = merge.dedupe_offers(spark.createDataFrame([("s", "A", None, 5.0, "high", 1)], OFFER))
-    assert "1000000" not in kept._jdf.queryExecution().analyzed().toString()
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_dedupe_is_the_fold_in_order(spark, batch):
+    """Against the rule in plain Python, over products that lie across batches."""
+    import random
+
+    rng = random.Random(3)
+    rows = [("s", f"n{rng.randint(0, 5)}", rng.choice([None, 2020]), rng.choice([None, 0.0, *map(float, range(1, 9))]), rng.choice(["low", "medium", "high"]), i) for i in range(200)]
+    want = {}
+    for source, name, vintage, price, confidence, position in rows:
+        cost, old = price or 9e9, want.get((source, name, vintage))
+        if old is None or (old[1] == "low" and confidence != "low") or cost < (old[0] or 9e9):
+            want[source, name, vintage] = (price, confidence, position)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rng.shuffle(rows)
+        got = {(r["source"], r["name"], r["vintage"]): (r["price"], r["confidence"], r["position"]) for r in merge.dedupe_offers(spark.createDataFrame(rows, OFFER).repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want
+    assert merge.dedupe_offers(spark.createDataFrame([], OFFER)).count() == 0
 
 
 def test_the_diff_names_every_change(spark):
@@ -167,3 +185,10 @@ def test_style_cascade(spark, name, sheet, denomination, vintage, typ, stage):
     none = F.lit(None).cast("map<string,double>")
     got = df.select(style.classify(F.col("n"), F.col("s"), F.col("d"), F.col("v"), F.lit(None).cast("string"), none, none, lists).alias("c")).first()["c"]
     assert (got["typ"], got["stage"]) == (typ, stage)
+
+
+def test_a_cache_moves_to_the_known_schema(spark):
+    old = spark.createDataFrame([(1, "x")], "id int, vivid string")
+    assert snapshots.migrate(old, 1, 3, {2: {"vivid": "payload"}, 3: {"payload": "body"}}).columns == ["id", "body"]
+    with pytest.raises(ValueError, match="schema 4"):
+        snapshots.migrate(old, 4, 3, {})
