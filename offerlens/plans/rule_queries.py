@@ -383,10 +383,10 @@ def missing_rating_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT p_partkey AS item, round(p_size * CASE p_partkey % 4 WHEN 0 THEN 7.5 WHEN 1 THEN 3.75 WHEN 2 THEN 1.5 ELSE 1 END::DOUBLE, 2) AS bottle FROM part)
-SELECT item, bottle, round(bottle / 20, 2) AS factor, CASE WHEN round(bottle / 20, 2) < 1.5 THEN 'another wine' WHEN round(bottle / 20, 2) < 2.5 THEN 'fair' WHEN round(bottle / 20, 2) < 4 THEN 'usual' ELSE 'dear' END AS verdict FROM m""")
+SELECT item, bottle, round(bottle / 19.9, 2) AS factor, CASE WHEN round(bottle / 19.9, 2) < 1.5 THEN 'another wine' WHEN round(bottle / 19.9, 2) < 2.5 THEN 'fair' WHEN round(bottle / 19.9, 2) < 4 THEN 'usual' ELSE 'dear' END AS verdict FROM m""")
 def restaurant_markups(spark: SparkSession, sf_dir: str) -> DataFrame:
     dl = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(5), F.lit(75)), (F.col("p_partkey") % 4 + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), ladder.markup(F.col("p_size").cast("double"), dl, F.lit(20.0)).alias("m"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), ladder.markup(F.col("p_size").cast("double"), dl, F.lit(19.9)).alias("m"))
     return rows.select("item", "m.bottle", "m.factor", "m.verdict")
 
 
