@@ -43,8 +43,8 @@ def may_hold(keys: DataFrame, column: str, size: int) -> Column | None:
     return test(*(F.shiftrightunsigned(F.xxhash64(column, F.lit(i)), 64 - bits.bit_length() + 1) for i in range(HASHES)))
 
 
-def semi_join(rows: DataFrame, keys: DataFrame, on: list[str], size: int, small: int) -> DataFrame:
-    """Rows whose ``on`` columns are among ``keys`` (distinct, ``size`` of them), with further columns that ``keys`` has.
+def fetch(rows: DataFrame, keys: DataFrame, on: list[str], size: int, small: int) -> DataFrame:
+    """Rows joined with the ``size`` rows of ``keys`` on the columns ``on``: a row comes as often as ``keys`` asks for it.
 
     Up to ``small`` keys are broadcast. Beyond, a Bloom filter of the first key
     column drops most other rows in the scan, and what it lets through is shuffled.

@@ -5,7 +5,7 @@ signature of ``POSITIONS`` minwise tokens. In each of at least ``TREES`` indepen
 trees a node picks a position (and with probability ``1/0.75 - 1`` a second one),
 and its documents branch by their token there: on average a pair at the
 threshold keeps one common child per level, so a tree loses it slowly, but more
-surely with each level. Nodes in which no more than ``SMALL`` pairs per member are
+surely with each level. From depth ``FIRST`` on, nodes in which no more than ``SMALL`` pairs per member are
 of different components are compared exhaustively; others branch again. Documents
 in nodes that are still crowded at depth ``SHALLOW`` go through more trees, as
 many as ``trees_for`` asks at the depth reached, so that a pair at the threshold
@@ -49,19 +49,21 @@ from .skew import join_hot
 #: Minwise tokens, trees, and comparisons for each member up to which a node is compared exhaustively.
 POSITIONS, TREES, SMALL = 128, 10, 128
 #: Members of a node's largest component that one task compares with all others.
-SLICE = 2048
+SLICE = 512
 #: Depth of the nodes whose members are compared with one member, and how many such nodes a document is in.
 LEADER_DEPTH, LEADER_NODES = 4, 16
 #: Positions that must agree before sets are compared: four standard errors under what similarity 0.75 gives.
 AGREE = 77
 MAX_DEPTH = 30
+#: Depth at which the first trees' nodes are looked at: above, most nodes are large and hold unlike documents.
+FIRST = 3
 #: Depth to which ``TREES`` are enough, and the share of pairs of similarity 0.75 that all trees may lose.
 SHALLOW, MISS = 5, 0.004
 #: Smallest hashes of a set kept beside the signature. A set of no more is there whole, so its similarities are exact;
 #: for others the estimate may fall short of 0.75 by four standard errors.
 LOWEST, EXACT_AT, GUESS_AT = 256, 0.749, 0.64
 #: Comparisons with one document that go through one group.
-CHUNK = 4096
+CHUNK = 512
 #: Ids whose set is broadcast at most; above, the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -87,7 +89,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id, h`` (hash of the text), ``n_shingles, print`` (128-bit print of the set), ``sig`` and ``low``; the last three are null for empty sets."""
+    """``doc_id, h`` (hash of the text), ``n_shingles, print`` (128-bit print of the set), ``sig``, ``short`` (its low halves) and ``low``; the last four are null for empty sets."""
 
     def run(doc_id: list, h: list, text: list) -> dict:
         sets = [shingle_set(t) for t in text]
@@ -95,13 +97,15 @@ def sketch(docs: DataFrame) -> DataFrame:
         sig: list = [None] * len(sets)
         mark: list = [None] * len(sets)
         low: list = [None] * len(sets)
+        short: list = [None] * len(sets)
         for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
             sig[i] = row
+            short[i] = row.astype("<i2").tobytes()
             low[i] = (sets[i][:LOWEST] >> np.uint64(32)).astype("<u4").tobytes()
             mark[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-        return {"doc_id": doc_id, "h": h, "n_shingles": [len(s) for s in sets], "print": mark, "sig": sig, "low": low}
+        return {"doc_id": doc_id, "h": h, "n_shingles": [len(s) for s in sets], "print": mark, "sig": sig, "short": short, "low": low}
 
-    return map_columns(_keyed(docs), "doc_id long, h long, n_shingles long, print binary, sig array<int>, low binary", run)
+    return map_columns(_keyed(docs), "doc_id long, h long, n_shingles long, print binary, sig array<int>, short binary, low binary", run)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -138,14 +142,18 @@ def confirm(pairs: DataFrame, places: DataFrame, docs: DataFrame, once: bool, sc
     n = pairs.count()
     degree = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("_n"))
     parts = F.ceil(F.col("_n") / CHUNK)
-    split = join_hot(pairs, degree, ["u"], counts=degree, rows=n).withColumn("part", F.pmod(F.xxhash64("v"), parts))
+    split = (pairs.join(F.broadcast(degree), "u") if n <= BROADCAST_IDS else join_hot(pairs, degree, ["u"], counts=degree, rows=n)).withColumn("part", F.pmod(F.xxhash64("v"), parts))
     split = scratch.save(split.select("u", "part", "v"))
     asked = split.select("u", "part", F.col("v").alias("id"), F.lit(1).alias("turn")).unionByName(
         split.select("u", "part", F.col("u").alias("id"), F.lit(0).alias("turn")).distinct())
-    ids = scratch.save(asked.select("id").distinct().join(places, "id"))
-    texts = bloom.semi_join(_keyed(docs), ids, ["doc_id", "h"], ids.count(), BROADCAST_IDS).select("id", "text")
-    texts = texts if once else texts.dropDuplicates(["id"])
-    sent = asked.join(texts, "id").repartition("u", "part").sortWithinPartitions("u", "part", "turn").select("u", "part", "turn", "id", "text")
+    asked = scratch.save(asked)
+    asked = scratch.save(bloom.fetch(places, asked, ["id"], asked.count(), BROADCAST_IDS))
+    texts = _keyed(docs)
+    if not once:  # equal rows: one of them speaks for all
+        keys = asked.select("doc_id", "h").distinct()
+        texts = bloom.fetch(texts, keys, ["doc_id", "h"], keys.count(), BROADCAST_IDS).dropDuplicates(["doc_id", "h"])
+    sent = bloom.fetch(texts, asked, ["doc_id", "h"], asked.count(), BROADCAST_IDS)
+    sent = sent.repartition("u", "part").sortWithinPartitions("u", "part", "turn").select("u", "part", "turn", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, mine = None, np.zeros(0, dtype=np.uint64)
@@ -160,7 +168,7 @@ def confirm(pairs: DataFrame, places: DataFrame, docs: DataFrame, once: bool, sc
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     found = scratch.save(sent.mapInArrow(run, "u long, v long"))
-    for t in (split, pairs, ids):
+    for t in (split, pairs, asked):
         scratch.drop(t)
     return found
 
@@ -170,30 +178,36 @@ def _token(sig: Column, at: Column) -> Column:
 
 
 def leaders(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(first member, other member)`` of every node at the fixed depth."""
+    """``(first member, other member)`` of every node at the fixed depth; the first is the one with the smallest ``doc_id``, as copies tend to be of older texts."""
     nodes = [F.xxhash64(F.lit(b), *(F.col("sig")[(b * LEADER_DEPTH + k) % POSITIONS] for k in range(LEADER_DEPTH))) for b in range(LEADER_NODES)]
-    rows = reps.select("id", F.explode(F.array(*nodes)).alias("node"))
-    first = rows.groupBy("node").agg(F.min("id").alias("u"), F.max("id").alias("last"), F.count(F.lit(1)).alias("_n")).where("u < last")
-    first = scratch.save(first.select("node", "u", "_n"))
-    met = join_hot(rows, first.select("node", "u"), ["node"], counts=first.select("node", "_n"), rows=reps.count() * LEADER_NODES)
-    return met.where("u < id").select("u", F.col("id").alias("v"))
+    rows = reps.select("id", "doc_id", F.explode(F.array(*nodes)).alias("node"))
+    first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "id")).alias("f"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = scratch.save(first.select("node", F.col("f.id").alias("u"), "_n"))
+    met = join_hot(rows, first.select("node", "u"), ["node"], counts=first.select("node", "_n"), rows=reps.count() * LEADER_NODES, small=BROADCAST_IDS)
+    return met.where("u <> id").select("u", F.col("id").alias("v"))
 
 
-def branch(rows: DataFrame) -> DataFrame:
-    """Children of ``(node, id, comp, sig)`` rows: ``(node, id, comp)``."""
+def branch(rows: DataFrame, levels: int = 1) -> DataFrame:
+    """Descendants of ``(node, id, comp, sig)`` rows so many levels below: ``(node, id, comp)``."""
+    for _ in range(levels):
+        rows = _children(rows)
+    return rows.drop("sig")
+
+
+def _children(rows: DataFrame) -> DataFrame:
     pick = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(POSITIONS))
     one, two = pick(1), pick(3)
     extra = (F.pmod(F.xxhash64("node", F.lit(2)), F.lit(3)) == 0) & (one != two)
     child = lambda at: F.xxhash64("node", at, _token(F.col("sig"), at))
-    return rows.select("id", "comp", F.explode(F.when(extra, F.array(child(one), child(two))).otherwise(F.array(child(one)))).alias("node"))
+    return rows.select("id", "comp", "sig", F.explode(F.when(extra, F.array(child(one), child(two))).otherwise(F.array(child(one)))).alias("node"))
 
 
 def node_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs ``u < v`` of different components inside the node parts of ``(node, part, id, comp, sig, low)`` that may be near."""
+    """Pairs ``u < v`` of different components inside the node parts of ``(node, part, id, comp, short, low)`` that may be near."""
 
-    def run(starts: np.ndarray, id: pa.ChunkedArray, comp: pa.ChunkedArray, sig: pa.ChunkedArray, low: pa.ChunkedArray, **_: pa.ChunkedArray) -> dict:  # noqa: A002
+    def run(starts: np.ndarray, id: pa.ChunkedArray, comp: pa.ChunkedArray, short: pa.ChunkedArray, low: pa.ChunkedArray, **_: pa.ChunkedArray) -> dict:  # noqa: A002
         ids, comps = id.to_numpy(), comp.to_numpy()
-        sigs = sig.combine_chunks().flatten().to_numpy().reshape(len(ids), POSITIONS)
+        sigs = np.frombuffer(b"".join(short.to_pylist()), dtype="<i2").reshape(len(ids), POSITIONS)
         lows = [np.frombuffer(x, dtype="<u4") for x in low.to_pylist()]
         first, second = [], []
         for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
@@ -223,7 +237,7 @@ def settle(rows: DataFrame, last: bool, scratch: Scratch) -> DataFrame:
     each = F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)
     every = F.transform(each, lambda s: F.least(s, own) * F.col("slices") + F.greatest(s, own))
     part = F.when(~F.col("done") & F.lit(last), every).when(F.col("comp") == F.col("top"), F.array(own)).otherwise(each)
-    met = join_hot(rows, nodes.drop("n"), ["node"], counts=nodes.select("node", F.col("n").alias("_n")), rows=rows.count())
+    met = join_hot(rows, nodes.drop("n"), ["node"], counts=nodes.select("node", F.col("n").alias("_n")), rows=rows.count(), small=BROADCAST_IDS)
     return met.select("node", "id", "comp", "done", F.explode(part).alias("part"))
 
 
@@ -248,25 +262,30 @@ def trees_for(depth: int) -> int:
 
 def tree_pairs(reps: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidate pairs of different components from all trees."""
-    start = scratch.save(reps.join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "sig", "low"))
+    known = F.broadcast(comps) if comps.count() <= BROADCAST_IDS else comps
+    start = scratch.save(reps.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "sig"))
     sig = start.select("id", "sig")
     found, deep, grown, wanted = None, None, 0, TREES
     while grown < wanted:
         roots = F.explode(F.sequence(F.lit(grown + 1).cast("long"), F.lit(wanted).cast("long")))
-        rows = branch((start if deep is None else start.join(deep, "id", "left_semi")).withColumn("node", roots))
-        grown, crowded = wanted, None
-        for depth in range(1, MAX_DEPTH + 1):
+        first = FIRST if deep is None else SHALLOW  # a pair that a tree loses above is one of those that ``trees_for`` counts
+        rows = branch((start if deep is None else start.join(deep, "id", "left_semi")).withColumn("node", roots), first)
+        grown, crowded, done = wanted, None, None
+        for depth in range(first, MAX_DEPTH + 1):
             rows = scratch.save(rows)
             live = scratch.save(settle(rows, depth == MAX_DEPTH, scratch))
             scratch.drop(rows)
             now, later = (live, live.limit(0)) if depth == MAX_DEPTH else (live.where("done"), live.where("not done"))
-            got = scratch.save(node_pairs(now.join(start.select("id", "sig", "low"), "id").select("node", "part", "id", "comp", "sig", "low")))
-            found = got if found is None else found.unionByName(got)
+            done = now if done is None else done.unionByName(now)
             if depth == MAX_DEPTH or later.isEmpty():
                 break
             if depth == SHALLOW:
                 crowded = later.select("id").distinct()
-            rows = branch(later.join(sig, "id").select("node", "id", "comp", "sig"))
+            rows = branch(bloom.fetch(sig, later.select("node", "id", "comp"), ["id"], later.count(), BROADCAST_IDS).select("node", "id", "comp", "sig"))
+        # nodes of all depths are compared at once: a node's number holds its depth
+        met = bloom.fetch(reps.select("id", "short", "low"), done.select("node", "part", "id", "comp"), ["id"], done.count(), BROADCAST_IDS)
+        got = scratch.save(node_pairs(met.select("node", "part", "id", "comp", "short", "low")))
+        found = got if found is None else found.unionByName(got)
         if depth > SHALLOW:
             # a pair that is lost below SHALLOW was in one of these nodes until then
             deep = scratch.save(crowded) if deep is None else deep
@@ -279,15 +298,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     each component that have its smallest id and, of these, its smallest text hash: one row, unless rows repeat.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    sets = scratch.save(sketch(docs))
+    sets = scratch.save(sketch(docs).withColumn("row", F.monotonically_increasing_id()))  # written once, so the number stays
     full = sets.where("print is not null and doc_id is not null")
     once = full.groupBy("doc_id").count().where("count > 1").isEmpty()
-    classes = full.groupBy("print").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count(F.lit(1)).alias("_n"))
-    classes = scratch.save(classes.select("print", "_n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), F.monotonically_increasing_id().alias("id")))
+    classes = full.groupBy("print").agg(F.min(F.struct("doc_id", "h", "row")).alias("rep"), F.count(F.lit(1)).alias("_n"))
+    classes = scratch.save(classes.select("print", "_n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), F.col("rep.row").alias("id")))
     places = classes.select("id", "doc_id", "h")
-    # rows that stand for classes; two texts with one hash are told apart by their sets' prints
-    reps = full.join(classes.select("doc_id", "h", "id", F.col("print").alias("own")), ["doc_id", "h"]).where("print = own").select("id", "sig", "low")
-    reps = scratch.save(reps if once else reps.dropDuplicates(["id"]))
+    # all rows but those that another one stands for; few are removed, and the rest stay where they are
+    several = classes.where("_n > 1").select("print", "id", "_n")
+    others = join_hot(full.select("row", "print"), several.select("print", "id"), ["print"], counts=several.select("print", "_n"), rows=full.count(), small=BROADCAST_IDS).where("row <> id")
+    others = scratch.save(others.select(F.col("row").alias("id")))
+    kept = bloom.anti_join(full.withColumnRenamed("row", "id"), others, ["id"], others.count(), BROADCAST_IDS)
+    reps = scratch.save(kept.select("id", "doc_id", "sig", "short", "low"))
     flat = scratch.save(sets.select("doc_id", "h", "n_shingles", "print"))
     scratch.drop(sets)
     starred = confirm(leaders(reps, scratch), places, docs, once, scratch)
@@ -297,8 +319,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = more.join(at("u"), "u", "left").join(at("v"), "v", "left").select(
         F.coalesce("u_comp", "u").alias("u"), F.coalesce("v_comp", "v").alias("v"))
     joined = components(met, scratch).select(F.col("id").alias("component"), F.col("component").alias("wider"))
-    final = classes.select("print", "id", F.struct("doc_id", "h").alias("lead"), "_n").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    final = scratch.save(join_hot(final, joined, ["component"], "left").withColumn("component", F.coalesce("wider", "component")).drop("wider"))
+    final = classes.select("print", "id", F.struct("doc_id", "h").alias("lead"), "_n").join(F.broadcast(comps) if comps.count() <= BROADCAST_IDS else comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    final = scratch.save(join_hot(final, joined, ["component"], "left", small=BROADCAST_IDS).withColumn("component", F.coalesce("wider", "component")).drop("wider"))
     least = final.groupBy("component").agg(F.min("lead").alias("least"))
     final = scratch.save(join_hot(final, least, ["component"]).select("print", "least", "_n"))
     found = flat.where("print is not null and doc_id is not null")

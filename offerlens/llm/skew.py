@@ -13,13 +13,16 @@ def hot_limit(rows: int) -> int:
     return max(HOT_ROWS, rows // SHARE)
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None, rows: int | None = None, small: int = 0) -> DataFrame:
     """``left`` joined (inner or left) with ``right``, whose ``on`` columns are unique.
 
     Rows of hot keys meet their partner by broadcast, at most ``SHARE`` rows of
     ``right``, so no task gathers them; all others by an ordinary join. ``counts``
-    may give ``on`` and ``_n``, the rows of ``left`` by key, if they are known.
+    may give ``on`` and ``_n``, the rows of ``left`` by key, if they are known. All of
+    ``right`` is broadcast if it has at most ``small`` rows, which are then counted.
     """
+    if small and right.count() <= small:
+        return left.join(F.broadcast(right), on, how)
     n = left.count() if rows is None else rows
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
     hot = counts.where(F.col("_n") > hot_limit(n)).select(*on).dropna()

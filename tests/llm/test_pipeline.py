@@ -74,3 +74,14 @@ def test_odd_input(spark, sf):
             assert sorted((r["doc_id"] is None, r["doc_id"]) for r in after.select("doc_id").collect()) == [(False, 0), (False, 1), (False, 2), (False, 4), (True, None)]
         elif name == "secrets":
             assert after.count() == docs.count()
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_rows_that_repeat_an_id(spark, sf, monkeypatch, few):
+    """Unlike texts under one id stay both, copies of either go, and of equal rows one stays; with and without broadcast."""
+    monkeypatch.setattr(cp.minhash_trees, "BROADCAST_IDS", few)
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, a, "en", 1), (7, b, "en", 2), (7, b, "en", 2), (9, a + " end", "en", 3), (8, b, "de", 4), (3, "something else entirely here today", "en", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    got = sorted((r["doc_id"], r["n_chars"]) for r in cp.near_duplicates(spark, docs, sf).collect())
+    assert got == [(3, 5), (7, 1), (7, 2)]
