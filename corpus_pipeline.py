@@ -59,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return left.select(*docs.columns)
     # rows that repeat: of each such row one stays, by its other columns' order
     order = [F.col(c) for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
-    few = bloom.semi_join(left, again, [doc_id, text_hash], size, minhash_trees.BROADCAST_IDS)
+    few = bloom.fetch(left, again, [doc_id, text_hash], size, minhash_trees.BROADCAST_IDS)
     one = few.withColumn(n, F.row_number().over(Window.partitionBy(doc_id, text_hash).orderBy(*order))).where(F.col(n) == 1)
     rest = bloom.anti_join(left, again, [doc_id, text_hash], size, minhash_trees.BROADCAST_IDS)
     return rest.select(*docs.columns).unionByName(one.select(*docs.columns))
