@@ -32,6 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import map_columns
+from .scratch import Scratch
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{12,}(?:={1,2}(?![A-Za-z0-9+/_.~=-]))?")
 _NAMES = r"passw(?:or)?d|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer"
@@ -59,10 +60,26 @@ COMMON = frozenset("""example mail com org net www http https index html file pa
 
 
 def frequent_words(docs: DataFrame, most: int = WORDS, least: int = MIN_COUNT) -> frozenset[str]:
-    """The ``most`` most frequent words of three letters or more over all texts, ties in order of the alphabet, and ``COMMON``."""
+    """The most frequent words of three letters or more over all texts, and ``COMMON``.
+
+    Frequencies are taken in steps of a sixteenth of a doubling, and a step's words
+    come all or not at all, as long as ``most`` hold them: so the driver sees one row
+    a step and the words that are kept, however many tasks counted.
+    """
+    scratch = Scratch(docs.sparkSession, "words")
     each = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("length(word) between 3 and 24")
-    top = each.groupBy("word").count().where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(most)
-    return COMMON | {r["word"] for r in top.collect()}
+    counts = scratch.save(each.groupBy("word").count().where(F.col("count") >= least))
+    step = F.floor(F.log2("count") * 16).alias("step")
+    sizes = counts.groupBy(step).agg(F.count(F.lit(1)).alias("n")).collect()
+    taken, lowest = 0, None
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        taken += r["n"]
+        if taken > most:
+            break
+        lowest = r["step"]
+    found = counts.where(step >= lowest).select("word").collect() if lowest is not None else []
+    scratch.drop(counts)
+    return COMMON | {r["word"] for r in found}
 
 
 def _kind(c: str) -> int:
