@@ -171,7 +171,8 @@ def tiled(own: DataFrame, axes: np.ndarray, learned: np.ndarray, width: int, thr
     turn = np.ascontiguousarray(axes[:AXES].T)
     cells = Cells(learned @ turn, min(MAX_CELLS, -(-rows // TILE)))
     names = [f"x{k}" for k in range(turn.shape[1] + 1)]
-    vector = pa.list_(pa.float64())
+    short = dict(own.dtypes)["embedding"] == "array<float>"  # sent as they came: half the bytes
+    ddl, vector = ("array<float>", pa.list_(pa.float32())) if short else ("array<double>", pa.list_(pa.float64()))
     kept = [pa.field("class", pa.int64()), pa.field("n", pa.int64()), pa.field("embedding", vector)]
     sent = spark.sparkContext.broadcast((turn, cells))
 
@@ -181,8 +182,8 @@ def tiled(own: DataFrame, axes: np.ndarray, learned: np.ndarray, width: int, thr
         return {"cell": cells.of(lead).astype(np.int32)} | {n: lead[:, k] for k, n in enumerate(names)}
 
     schema = pa.schema([*kept, pa.field("cell", pa.int32()), *(pa.field(n, pa.float32()) for n in names)])
-    placed = scratch.save(_mapped(own.select("class", "n", F.col("embedding").cast("array<double>").alias("embedding")), schema,
-                                  "class long, n long, embedding array<double>, cell int, " + ", ".join(f"{n} float" for n in names), place))
+    placed = scratch.save(_mapped(own.select("class", "n", F.col("embedding").cast(ddl).alias("embedding")), schema,
+                                  f"class long, n long, embedding {ddl}, cell int, " + ", ".join(f"{n} float" for n in names), place))
     boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_c"), *(f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max))).orderBy("cell").collect()  # at most MAX_CELLS rows
     low, high = (np.asarray([[r[f"{f}_{n}"] for n in names] for r in boxes], dtype=np.float32).reshape(len(boxes), len(names)) for f in ("min", "max"))
     parts = np.asarray([-(-r["_c"] // TILE) for r in boxes], dtype=np.int64)
@@ -202,7 +203,7 @@ def tiled(own: DataFrame, axes: np.ndarray, learned: np.ndarray, width: int, thr
         return {"tile": (base[cell] + part), "others": others}
 
     schema = pa.schema([*kept, pa.field("tile", pa.int64()), pa.field("others", pa.list_(pa.int64()))])
-    return _mapped(placed.withColumn("hash", F.abs(F.xxhash64("class") % F.lit(1 << 40))), schema, "class long, n long, embedding array<double>, tile long, others array<long>", meet)
+    return _mapped(placed.withColumn("hash", F.abs(F.xxhash64("class") % F.lit(1 << 40))), schema, f"class long, n long, embedding {ddl}, tile long, others array<long>", meet)
 
 
 def near_vectors(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
