@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..operators.small import dealt
 
 # Fixed values.
 UNIT = r"(?iu)^(?:\d+(?:[.,]\d+)?\s*(?:cl|ml|dl|l|lt)|kg|g|st(?:ü|u)ck|stk|liter)$"
@@ -42,19 +43,19 @@ def cells(words: DataFrame, anchors: DataFrame, bin_height: float = 100.0) -> Da
     condition on height is turned into equality on bins before it is checked.
     """
     bounds = column_bounds(anchors)
-    placed = lambda t: t.join(bounds, "page").where((F.col("x0") >= F.col("left")) & (F.col("x0") < F.col("right"))).drop("left", "right")
+    placed = lambda t: t.join(dealt(bounds), "page").where((F.col("x0") >= F.col("left")) & (F.col("x0") < F.col("right"))).drop("left", "right")
     bins = F.sequence(F.floor((F.col("at") + ABOVE[0]) / bin_height), F.floor((F.col("at") + BELOW[1]) / bin_height))
     a = placed(anchors).select("page", "column", "anchor", F.col("top").alias("at")).withColumn("_bin", F.explode(bins))
     w = placed(words).withColumn("_bin", F.floor(F.col("top") / bin_height))
     off = F.col("top") - F.col("at")
-    met = w.join(a, ["page", "column", "_bin"]).where(off.between(*ABOVE) | off.between(*BELOW)).drop("_bin")
+    met = w.join(dealt(a), ["page", "column", "_bin"]).where(off.between(*ABOVE) | off.between(*BELOW)).drop("_bin")
     # a word between two anchors belongs to the one it stands nearer to
     near = Window.partitionBy("page", "column", "text", "x0", "top").orderBy(F.abs(off), "anchor")
     met = met.withColumn("_r", F.row_number().over(near)).where("_r = 1")
     lines = clusters(met, ["page", "anchor"], "top", LINE_GAP)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda p: p["text"]), " ")
     one = lines.groupBy("page", "anchor", "cluster").agg(text.alias("line"), F.min("top").alias("top"))
-    at = one.join(anchors.select("page", "anchor", F.col("top").alias("at")), ["page", "anchor"])
+    at = one.join(dealt(anchors.select("page", "anchor", F.col("top").alias("at"))), ["page", "anchor"])
     lines = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("top", "line")))), lambda p: p["line"])
     return at.groupBy("page", "anchor").agg(lines(F.lit(True)).alias("lines"), lines(F.col("top") < F.col("at")).alias("above"), lines(F.col("top") >= F.col("at")).alias("below"))
 
