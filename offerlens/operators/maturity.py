@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import any_word, fold
+from .small import dealt
 
 # Fixed values.
 CODES = ["g", "k", "*", "m", "-"]
@@ -101,9 +102,9 @@ def glyph_code(red: Column, green: Column, blue: Column, text: Column, legend: d
 def year_table(glyphs: DataFrame, columns: DataFrame, tolerance: float = 7.0) -> DataFrame:
     """``block, vintage, code``: each glyph's code under its nearest year; of two in one cell the nearer counts, years without a glyph are ``-``."""
     near = nearest_column(glyphs.select("page", "block", "x", "code"), columns, tolerance).where("year IS NOT NULL")
-    told = near.join(columns.select("page", "year", F.col("x").alias("_x")), ["page", "year"]).groupBy("block", "year").agg(F.min_by("code", F.struct(F.abs(F.col("x") - F.col("_x")), F.col("code"))).alias("code"))
-    every = near.select("page", "block").distinct().join(columns.select("page", "year"), "page").select("block", "year").distinct()
-    return every.join(told, ["block", "year"], "left").select("block", F.col("year").alias("vintage"), F.coalesce("code", F.lit("-")).alias("code"))
+    told = near.join(dealt(columns.select("page", "year", F.col("x").alias("_x"))), ["page", "year"]).groupBy("block", "year").agg(F.min_by("code", F.struct(F.abs(F.col("x") - F.col("_x")), F.col("code"))).alias("code"))
+    every = near.select("page", "block").distinct().join(dealt(columns.select("page", "year")), "page").select("block", "year").distinct()
+    return every.join(dealt(told), ["block", "year"], "left").select("block", F.col("year").alias("vintage"), F.coalesce("code", F.lit("-")).alias("code"))
 
 
 def nearest_column(glyphs: DataFrame, columns: DataFrame, tolerance: float = 7.0) -> DataFrame:
@@ -111,7 +112,7 @@ def nearest_column(glyphs: DataFrame, columns: DataFrame, tolerance: float = 7.0
     width = 2 * tolerance
     a = glyphs.withColumn("_bin", F.floor(F.col("x") / width))
     b = columns.select("page", "year", F.col("x").alias("cx"), F.explode(F.array(*(F.floor(F.col("x") / width) + k for k in (-1, 0, 1)))).alias("_bin"))
-    near = a.join(b, ["page", "_bin"]).where(F.abs(F.col("x") - F.col("cx")) <= tolerance)
+    near = a.join(dealt(b), ["page", "_bin"]).where(F.abs(F.col("x") - F.col("cx")) <= tolerance)
     return near.groupBy(*glyphs.columns).agg(F.min_by("year", F.struct(F.abs(F.col("x") - F.col("cx")), F.col("year"))).alias("year"))
 
 

@@ -1,6 +1,7 @@
 """Work that must not depend on how small a table looks: no broadcast by estimate, kept steps, names that meet by chance."""
 
 
+from offerlens.operators import maturity
 from offerlens.sources import leaflet
 
 
@@ -14,3 +15,11 @@ def test_leaflet_cells_broadcast_no_page(spark):
     got = leaflet.cells(words, anchors)
     assert "Broadcast" not in plan(got)
     assert [(r["above"], r["below"]) for r in got.collect()] == [(["75 cl"], ["Fendant"])]
+
+
+def test_year_table_broadcasts_no_page(spark):
+    glyphs = spark.createDataFrame([(1, "a", 101.0, "g"), (1, "a", 139.0, "k")], "page int, block string, x double, code string")
+    columns = spark.createDataFrame([(1, 2018, 100.0), (1, 2019, 140.0), (1, 2020, 180.0)], "page int, year int, x double")
+    got = maturity.year_table(glyphs, columns)
+    assert "Broadcast" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [("a", 2018, "g"), ("a", 2019, "k"), ("a", 2020, "-")]
