@@ -186,8 +186,8 @@ def payable_total(price: Column, raw: Column, units: Column, ml: Column, vat_add
 
 
 def bargain_percent(market: Column, price: Column, sure: Column) -> Column:
-    """Percent under an independent market price; negative values stay."""
-    return F.when((market > 0) & price.isNotNull() & sure, F.round((market - price) / market * 100, 1))
+    """Percent under an independent market price; negative values stay. Tenths are counted in doubles, so that a tie rounds as in SQL."""
+    return F.when((market > 0) & price.isNotNull() & sure, F.round((market - price) / market * 100 * 10) / 10)
 
 
 def bargain_plausibility(percent: Column, foreign: Column) -> Column:

@@ -64,3 +64,8 @@ def test_more_sellers_than_columns(spark, sf, tmp_path, name):
         os.symlink(f"{sf}/{t}.parquet", tmp_path / f"{t}.parquet")
     spark.range(60_000).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() > 0
+
+
+def test_bargain_ties_round_as_in_sql(spark):
+    rows = spark.createDataFrame([(922.86,), (1222.02,), (997.38,)], "p double")
+    assert [r[0] for r in rows.select(P.bargain_percent(F.lit(1080.0), F.col("p"), F.lit(True))).collect()] == [14.6, -13.2, 7.7]
